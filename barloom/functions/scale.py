@@ -109,3 +109,45 @@ def global_rank_offset(df: DataFrame, order: list[Column], shard: str) -> DataFr
     z = df.join(off, shard)
     return (z.withColumn("position", F.row_number().over(W.partitionBy(shard).orderBy(*order)) + F.col("__off"))
             .drop("__off"))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 4096) -> DataFrame:
+    """Exact median per key without bringing a key together: bucket counts find the middle bucket, and only
+    the distinct values of that bucket are counted one by one."""
+    v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rng = v.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    z = attach(v, rng, keys, ["_mn", "_mx", "_n"], nullable=keys, how="inner")
+    pos = F.floor((F.col("_v") - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0)) * buckets)
+    z = z.withColumn("_b", F.coalesce(F.least(pos, F.lit(buckets - 1)), F.lit(0)))
+    hist = z.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    run = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_k").over(run))
+    lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    before = F.col("_cum") - F.col("_k")
+    mid = hist.filter(((before < lo) & (lo <= F.col("_cum"))) | ((before < hi) & (hi <= F.col("_cum"))))
+    mid = mid.withColumn("_before", before)
+    w = attach(z, mid, [*keys, "_b"], ["_before"], nullable=keys, how="inner")
+    w = w.groupBy(*keys, "_b", "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = w.withColumn("_cum", F.sum("_k").over(inner) + F.col("_before"))
+    before = F.col("_cum") - F.col("_k")
+    w = w.groupBy(*keys).agg(F.max(F.when((before < lo) & (lo <= F.col("_cum")), F.col("_v"))).alias("_lo"),
+                             F.max(F.when((before < hi) & (hi <= F.col("_cum")), F.col("_v"))).alias("_hi"))
+    return w.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+
+
+def last_at_or_before(facts: DataFrame, probes: DataFrame, key: str, fact_date: str, probe_date: str,
+                      values: list[str], forward: bool = False) -> DataFrame:
+    """As-of lookup of `values` for distinct (key, probe_date) pairs.
+
+    Probes are made distinct first, so one key holds at most two rows per calendar date however many rows ask.
+    Facts must be unique per (key, date).
+    """
+    p = probes.select(key, F.col(probe_date).alias("_d")).distinct().withColumn("_probe", F.lit(1))
+    f = facts.select(key, F.col(fact_date).alias("_d"), F.struct(*values).alias("_val")).withColumn("_probe", F.lit(0))
+    u = f.unionByName(p, allowMissingColumns=True)
+    # Facts come before probes of the same date in either direction, so equal dates match.
+    d = F.col("_d").desc() if forward else F.col("_d").asc()
+    w = W.partitionBy(key).orderBy(d, F.col("_probe").asc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    u = u.withColumn("_hit", F.last("_val", ignorenulls=True).over(w)).filter("_probe = 1")
+    return u.select(key, F.col("_d").alias(probe_date), *[F.col(f"_hit.{x}").alias(x) for x in values])

@@ -5,6 +5,6 @@ import importlib
 
 def load_catalog():
     from barloom.plans import catalog
-    for m in ("q_features",):
+    for m in ("q_features", "q_ledger"):
         importlib.import_module(f"barloom.plans.{m}")
     return catalog

@@ -22,9 +22,10 @@ def funnel(bars: DataFrame, registry: DataFrame | None = None, rules: RuleSet =
     panel = metrics_panel(bars, depth)
     if cut:
         panel = materialise(panel, "panel")
-    a1 = stage1(panel, rules=rules, by=by)
-    a2 = stage2(selected_only(a1), rules=rules, by=by)
-    a3 = stage3(selected_only(a2), rules=rules, by=by)
+    keep = materialise if cut else (lambda df, _label: df)
+    a1 = keep(stage1(panel, rules=rules, by=by), "audit1")
+    a2 = keep(stage2(selected_only(a1), rules=rules, by=by), "audit2")
+    a3 = keep(stage3(selected_only(a2), rules=rules, by=by), "audit3")
     out = {"panel": panel, "audit1": a1, "audit2": a2, "audit3": a3}
     if rules.generation >= 5:
         out["aligned"] = align_candidates(a3, cap, by)

@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(tune(spark), sf_dir))
-        run.__name__ = name
+        run.__name__, run.group = name, fn.__module__
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run

@@ -66,12 +66,12 @@ def _(spark, sf):
 
 @query("normalise_transactions", """SELECT CAST(l_shipdate AS DATE) AS trade_date, '15:00:00' AS trade_time, '默认账户' AS account,
   CASE l_returnflag WHEN 'R' THEN '卖出' ELSE '买入' END AS side, lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS symbol,
-  count(*) AS n, CAST(sum(round(CAST(round(l_extendedprice/l_quantity,2) AS DECIMAL(18,6)) * CAST(l_quantity AS DECIMAL(18,0)), 2)) AS DOUBLE) AS amount
+  count(*) AS n, CAST(sum(round(CAST(floor(l_extendedprice/l_quantity) AS DECIMAL(18,6)) * CAST(l_quantity AS DECIMAL(18,0)), 2)) AS DOUBLE) AS amount
   FROM lineitem WHERE l_quantity > 0 GROUP BY ALL""")
 def _(spark, sf):
     li = v.table(spark, sf, "lineitem")
     raw = li.select(F.col("l_shipdate").cast("date").alias("日期"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("买入").alias("方向"),
-                    F.col("l_suppkey").alias("代码"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("价格"),
+                    F.col("l_suppkey").alias("代码"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).alias("价格"),
                     F.col("l_quantity").alias("数量"))
     ok, _bad = ledger.normalise_transactions(raw)
     return ok.groupBy("trade_date", "trade_time", "account", "side", "symbol").agg(

@@ -79,9 +79,9 @@ def is_st(name) -> Column:
 
 
 def exchange_prefix(code) -> Column:
+    """Code with its market prefix; unknown leading digits stay bare."""
     c = col(code)
-    return first_match([(c.rlike("^[569]") & ~c.startswith("92"), "sh"),
-                        (c.rlike("^(4|8|92)"), "bj")], "sz")
+    return F.concat(first_match([(c.rlike("^[569]"), "sh"), (c.rlike("^[0-3]"), "sz"), (c.rlike("^[48]"), "bj")], ""), c)
 
 
 # Daily price-limit percentage and board label by code prefix.

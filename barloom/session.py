@@ -43,13 +43,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: the session's checkpoint setting, else a fresh local one (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="barloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """Folder every executor sees: the session's checkpoint setting. Only where that is unset (tests, one
+    machine) a fresh local folder is taken, once per application."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="barloom-shared-")
+    return _FALLBACK[app]
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ sys.path.insert(0, str(ROOT / "scripts"))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from barloom.session import local_session, tune
-    s = local_session(8, 4, "4g")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return tune(s)
+    from pyspark.sql import SparkSession
+    # The cluster names this folder; tests name one before the session starts.
+    SparkSession.builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    return tune(local_session(8, 4, "4g"))

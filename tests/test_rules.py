@@ -204,7 +204,7 @@ def test_normalise_rejects_with_reason(spark):
     x = frame(spark, [("2026-01-01", "B", "600001", "10", "100", "1000"), ("2026-01-01", "B", "600001", "10", "100", "1001"),
                       ("2026-01-01", "X", "600001", "10", "100", ""), ("bad", "B", "600001", "10", "100", ""),
                       ("2026-01-01", "S", "600001", "0", "100", ""), ("2026-01-01", "S", "600001", "1", "1.5", "")],
-              "日期 string, 方向 string, 代码 string, 价格 string, 数量 string, 金额 string")
+              "`日期` string, `方向` string, `代码` string, `价格` string, `数量` string, `金额` string")
     ok, bad = ledger.normalise_transactions(x)
     r = ok.collect()
     assert len(r) == 1 and r[0].account == "默认账户" and r[0].trade_time == "15:00:00" and len(r[0].txn_id) == 24

@@ -19,6 +19,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a one-row frame as scalar subqueries; no join."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+
+
 def score_histogram(df: DataFrame, by: list[str], score: str, eligible: Column | None = None) -> DataFrame:
     """One row per (by, score): ties, min-rank, and running eligible counts from the best score down.
 

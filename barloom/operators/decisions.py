@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, flag
-from barloom.functions.scale import attach, top_k
+from barloom.functions.scale import attach, top_k, with_scalars
 from barloom.operators.concepts import RES_DOWN, RES_MIXED, RES_UP
 
 # Notes appended to a decision's risk text.
@@ -95,7 +95,7 @@ def opinion_context(opinions: DataFrame, days: DataFrame) -> DataFrame:
     """available / stale / unavailable per asked day. opinions: opinion_date; days: trade_date."""
     first = opinions.agg(F.min("opinion_date").alias("_first"))
     o = opinions.select(F.col("opinion_date").alias("trade_date")).distinct().withColumn("_same", F.lit(True))
-    z = days.join(o, "trade_date", "left").join(first)  # one row
+    z = with_scalars(days.join(o, "trade_date", "left"), first)
     return z.select("trade_date", first_match([(flag(F.col("_same")), "available"), (flag(F.col("_first") < F.col("trade_date")), "stale")],
                                               "unavailable").alias("opinion_status"))
 

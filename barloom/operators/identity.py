@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import col, first_match, flag, is_st, name_key, norm_code
-from barloom.functions.scale import newest_row
+from barloom.functions.scale import newest_row, with_scalars
 
 # Index names, states, reasons and change labels.
 INDEX_NAMES = ("上证指数", "深证成指", "创业板指", "科创50", "北证50", "上证综指", "深证成份指数", "创业板指数", "科创50指数", "北证50指数")
@@ -136,9 +136,10 @@ def reconcile_snapshot(upload: DataFrame, master: DataFrame) -> tuple[DataFrame,
     z = z.join(m, "symbol", "left").withColumn("matched", F.col("_m").isNotNull()).drop("_m")
     missing = master.select("symbol").distinct().join(x.select("symbol"), "symbol", "left_anti")
     bad = x.filter(~F.col("symbol").rlike("^[0-9]{6}$")).agg(F.count(F.lit(1)).alias("invalid"))
-    rep = (z.agg(F.count(F.lit(1)).alias("rows"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
-           .join(bad).join(dup.filter("_n > 1 AND symbol <> ''").agg(F.count(F.lit(1)).alias("duplicate_codes")))
-           .join(missing.agg(F.count(F.lit(1)).alias("missing"))))  # single rows
+    rep = z.agg(F.count(F.lit(1)).alias("rows"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"))
+    for one in (bad, dup.filter("_n > 1 AND symbol <> ''").agg(F.count(F.lit(1)).alias("duplicate_codes")),
+                missing.agg(F.count(F.lit(1)).alias("missing"))):
+        rep = with_scalars(rep, one)
     return z, missing, rep
 
 

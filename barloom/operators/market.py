@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import flag
-from barloom.functions.scale import newest_row
+from barloom.functions.scale import newest_row, with_scalars
 from barloom.operators.panel import by_symbol
 
 # Pool kinds and their component labels, regimes.
@@ -143,7 +143,7 @@ def change_counts(changes: DataFrame, audit: DataFrame, asof: str) -> DataFrame:
     c = changes.agg(F.count_if(F.col("change") == "新增").alias("added"), F.count_if(F.col("change") == "重新激活").alias("reactivated"))
     a = audit.agg(F.count_if((F.col("status") == "已淘汰") & (F.col("eliminated_on") == F.lit(asof).cast("date"))).alias("eliminated"),
                   F.count_if(F.col("status") == "冷却观察").alias("cooling"))
-    return c.join(a)  # two single rows
+    return with_scalars(c, a)
 
 
 def with_pct(prices: DataFrame, price: str = "price") -> DataFrame:

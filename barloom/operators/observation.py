@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import flag
-from barloom.functions.scale import attach, newest_row, top_k
+from barloom.functions.scale import attach, newest_row, top_k, with_scalars
 
 EXIT_WORDS = "已退出|已卖出|止盈退出|止损退出"  # fixed values
 
@@ -26,7 +26,7 @@ def latest_sources(meta: DataFrame, calendar: DataFrame, today: str, days: int =
         (F.col("target") == F.col("_want")) & (F.coalesce("status", F.lit("valid")) == "valid"))
     best = newest_row(z.select("generated", "source_rank", "path", "generated_at"), ["generated"], [F.col("generated_at"), F.col("path")])
     ok = best.agg(F.max(F.col("source_rank") == 1).alias("_ok"))
-    return best.join(ok).filter(flag(F.col("_ok"))).drop("_ok")
+    return with_scalars(best, ok).filter(flag(F.col("_ok"))).drop("_ok")
 
 
 def exclude_active(pool: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, flag, norm_code, strip_units
-from barloom.functions.scale import attach, newest_row, score_histogram, top_k
+from barloom.functions.scale import attach, newest_row, score_histogram, top_k, with_scalars
 
 # Fixed values.
 CONCEPT, INDUSTRY, PERIODS = "概念", "行业", ("now", "3d", "5d", "10d", "20d")
@@ -47,7 +47,7 @@ def sector_readiness(flow: DataFrame, qa: DataFrame) -> DataFrame:
     fam = flow.groupBy("board_type").agg(F.countDistinct("period").alias("n"))
     a = fam.agg(F.count_if(F.col("n") == len(PERIODS)).alias("complete"))
     w = qa.agg(F.count_if("warning").alias("warnings"))
-    x = a.join(w)  # two single rows
+    x = with_scalars(a, w)
     return x.select("complete", "warnings", (F.col("complete") > 0).alias("usable"), first_match(
         [((F.col("complete") >= 2) & (F.col("warnings") == 0), READY), (F.col("complete") == 1, PARTIAL)], TRIAL).alias("readiness"))
 
@@ -138,7 +138,7 @@ def coverage(mapping: DataFrame, master: DataFrame, failures: DataFrame | None =
     if failures is None:
         z = z.withColumn("failure_rate", F.lit(0.0))
     else:
-        z = z.join(failures.agg(F.coalesce(F.avg((~F.col("ok")).cast("double")), F.lit(0.0)).alias("failure_rate")))
+        z = with_scalars(z, failures.agg(F.coalesce(F.avg((~F.col("ok")).cast("double")), F.lit(0.0)).alias("failure_rate")))
     a, i, c, f = (F.col(x) for x in ("any_coverage", "industry_coverage", "concept_coverage", "failure_rate"))
     return z.withColumn("state", first_match([
         ((a >= 0.95) & (i >= 0.90) & (c >= 0.90) & (f <= 0.20), "FORMAL"),
@@ -163,7 +163,7 @@ def sector_strength(flow: DataFrame, keep: int = 4) -> DataFrame:
                   F.col("n_scored").cast("string"))
     s = x.groupBy("board").agg(F.sum("norm").alias("_s"), F.sort_array(F.collect_list(ev)).alias("_e"))
     top = s.agg(F.max("_s").alias("_max"))
-    return (s.crossJoin(F.broadcast(top))  # one row
+    return (with_scalars(s, top)
             .select("board", F.round(F.col("_s") / F.col("_max") * 70, 4).alias("strength"), F.slice("_e", 1, keep).alias("evidence")))
 
 

@@ -23,9 +23,10 @@ def funnel(bars: DataFrame, registry: DataFrame | None = None, rules: RuleSet =
     if cut:
         panel = materialise(panel, "panel")
     keep = materialise if cut else (lambda df, _label: df)
-    a1 = keep(stage1(panel, rules=rules, by=by), "audit1")
-    a2 = keep(stage2(selected_only(a1), rules=rules, by=by), "audit2")
-    a3 = keep(stage3(selected_only(a2), rules=rules, by=by), "audit3")
+    # Audits stay views of the written panel; only survivors are written, because the next stage reads them twice.
+    a1 = stage1(panel, rules=rules, by=by)
+    a2 = stage2(keep(selected_only(a1), "survivors1"), rules=rules, by=by)
+    a3 = keep(stage3(keep(selected_only(a2), "survivors2"), rules=rules, by=by), "audit3")
     out = {"panel": panel, "audit1": a1, "audit2": a2, "audit3": a3}
     if rules.generation >= 5:
         out["aligned"] = align_candidates(a3, cap, by)

@@ -301,7 +301,7 @@ def _(spark, sf):
 
 @query("register_recommendations", f"""WITH {BARS}, {RECOS}, d AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) k FROM bars)
   SELECT concat('1999-01-04_', symbol) AS reco_id, DATE '1999-01-04' AS reco_date, close AS reference_price FROM d WHERE k = 1
-  UNION ALL SELECT reco_id, reco_date, close FROM recos r JOIN bars b ON b.symbol = r.symbol AND b.trade_date = r.reco_date""")
+  UNION ALL SELECT reco_id, reco_date, close FROM recos r JOIN bars b ON b.symbol = r.symbol AND b.trade_date = r.reco_date WHERE reco_date <> DATE '1999-01-04'""")
 def _(spark, sf):
     b = v.bars(spark, sf)
     latest = b.groupBy("symbol").agg(F.max_by("close", "trade_date").alias("price"))

@@ -360,7 +360,7 @@ def _(spark, sf):
     p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("request_order"), F.col("p_name").alias("name"), F.split(F.trim("p_name"), " ")[0].alias("concept"))
     m = concepts.match_concepts(p.select("request_order", "name"), p.select("concept").distinct())
     return (p.agg(F.count(F.lit(1)).alias("parts"), F.countDistinct(F.lower("concept")).alias("catalog"))
-            .join(m.agg(F.countDistinct("concept").alias("matched"))))
+            .withColumn("matched", m.agg(F.countDistinct("concept").alias("matched")).scalar()))
 
 
 @query("mentioned_boards", "SELECT DISTINCT w AS board FROM (SELECT DISTINCT lower(split_part(trim(p_name),' ',1)) AS w FROM part) b WHERE EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, b.w))")
@@ -479,7 +479,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = pool_sources(spark, sf)
     second = s.filter("source_rank = 2").agg(F.max("source_date").alias("exit_date"))
-    ex = s.filter("symbol LIKE '300%'").select("symbol").distinct().join(second)
+    ex = s.filter("symbol LIKE '300%'").select("symbol").distinct().withColumn("exit_date", second.scalar())
     p, _gone = observation.exclude_active(observation.pool_union(s), s.filter("symbol LIKE '600%'").select("symbol"))
     return observation.exclude_stale_closed(p, ex).select("symbol", "source_count")
 

@@ -43,14 +43,6 @@ def score_histogram(df: DataFrame, by: list[str], score: str, eligible: Column |
             .withColumn("n_scored", F.sum(F.when(F.col(score).isNotNull(), F.col("ties"))).over(all_)))
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str], nullable: list[str] = ()) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k]) if k in nullable else left[k] == right[k]
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def attach(df: DataFrame, side: DataFrame, keys: list[str], cols: list[str],
            nullable: list[str] = (), how: str = "left") -> DataFrame:
     """Equi join that brings only `cols` of `side`; keys may be NULL-safe."""
@@ -106,16 +98,6 @@ def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     return z.drop(*[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 
-def global_rank_offset(df: DataFrame, order: list[Column], shard: str) -> DataFrame:
-    """Position over a whole table by shards that are themselves ordered (shard is the leading key)."""
-    n = df.groupBy(shard).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(F.lit(0)).orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
-    off = n.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    z = df.join(off, shard)
-    return (z.withColumn("position", F.row_number().over(W.partitionBy(shard).orderBy(*order)) + F.col("__off"))
-            .drop("__off"))
-
-
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 4096) -> DataFrame:
     """Exact median per key without bringing a key together: bucket counts find the middle bucket, and only
     the distinct values of that bucket are counted one by one."""

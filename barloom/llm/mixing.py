@@ -37,10 +37,10 @@ class Mixture:
     block_words: int
 
     def pieces(self) -> DataFrame:
-        """Word range [lo, hi) of each document in each block it touches."""
+        """Word range [lo, hi) of each document in each block it touches; without words, one row whose block is null."""
         b, o, n = F.lit(self.block_words), F.col("offset"), F.col("size")
-        out = (self.layout.filter("size > 0")
-               .withColumn("block", F.explode(F.sequence(F.floor(o / b), F.floor((o + n - 1) / b)))))
+        touched = F.when(n > 0, F.sequence(F.floor(o / b), F.floor((o + n - 1) / b)))
+        out = self.layout.withColumn("block", F.explode_outer(touched))
         lo = F.greatest(F.col("block") * b, o) - o
         hi = F.least((F.col("block") + 1) * b, o + n) - o
         return out.withColumns({"lo": lo, "hi": hi})
@@ -151,12 +151,14 @@ def _slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
 def words_taken(m: Mixture) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken."""
     times = m.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    touched = (m.pieces().join(times, ["sid", "block"], "left")
-               .groupBy("sid", "offset").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"),
-                                             F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0))).alias("taken")))
-    empty = m.layout.filter("size = 0").select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    return (touched.select("sid", "doc_id", "size", "taken").unionByName(empty)
-            .join(m.sources.select("sid", "source", "source_size", "target"), "sid"))
+    words = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
+    # An empty document shares its offset with the next one: h tells them apart, and a count keeps equal empty rows.
+    per = (m.pieces().join(times, ["sid", "block"], "left")
+           .groupBy("sid", "offset", "size", "h").agg(F.first("doc_id").alias("doc_id"), F.sum(words).alias("taken"),
+                                                      F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("copies")))
+    return (per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("copies"), F.lit(1)))))
+            .join(m.sources.select("sid", "source", "source_size", "target"), "sid")
+            .select("doc_id", "source", "size", "source_size", "target", "taken"))
 
 
 def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing
-from barloom.llm.common import table
+from barloom.llm import fingerprints, mixing
+from barloom.llm.common import materialise, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -26,3 +26,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.words_taken(m).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; near_docs: documents within three bits of those whose id
+    is divisible by 50, themselves not counted."""
+    f = fingerprints.fingerprints_of_edits(table(spark, sf_dir, "documents"))
+    f = materialise(f, "fp-all")
+    classes = f.groupBy("fp").agg(F.count("*").alias("n"))
+    found = (fingerprints.within_radius(classes, f.filter("doc_id % 50 = 0")).join(classes, "fp")
+             .groupBy("query_fp").agg((F.sum("n") - 1).alias("near")))
+    f = f.join(found, f["fp"] == found["query_fp"], "left")
+    return f.select("doc_id", "n_chars", "edited_sha256", fingerprints.hexed(F.col("fp")).alias("fingerprint"),
+                    fingerprints.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
+                    fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                    fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+                    F.when(F.col("doc_id") % 50 == 0, F.col("near")).alias("near_docs"))

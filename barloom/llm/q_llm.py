@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing
+from barloom.llm import fingerprints, mixing, preference
 from barloom.llm.common import materialise, table
 
 QUERIES: dict = {}
@@ -43,3 +43,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                     fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
                     fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
                     F.when(F.col("doc_id") % 50 == 0, F.col("near")).alias("near_docs"))
+
+
+OP9 = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, conv_id // 2 AS pair_id, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+ids AS (
+  SELECT pair_id, max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 <> 0) AS rejected_id,
+         count(*) FILTER (conv_id % 2 = 0) AS na, count(*) FILTER (conv_id % 2 <> 0) AS nb FROM placed GROUP BY pair_id),
+alike AS (
+  SELECT pair_id, i FROM placed GROUP BY pair_id, i
+  HAVING count(*) = 2 AND min(role) = max(role) AND min(text) = max(text)),
+run AS (SELECT pair_id, i, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM alike),
+prefix AS (SELECT pair_id, count(*) AS n FROM run WHERE i = k GROUP BY pair_id),
+marked AS (
+  SELECT p.*, coalesce(f.n, 0) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS block
+  FROM placed p LEFT JOIN prefix f USING (pair_id)),
+timed AS (
+  SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM marked WHERE i > n),
+spans AS (
+  SELECT conv_id, string_agg(block, '' ORDER BY i) AS body,
+         string_agg(CASE WHEN role = 'assistant' THEN (ahead + length(role) + 5)::BIGINT::VARCHAR || '-' || (ahead + length(block) - 1)::BIGINT::VARCHAR END, ',' ORDER BY i) AS spans
+  FROM timed GROUP BY conv_id),
+prompts AS (SELECT conv_id, string_agg(block, '' ORDER BY i) AS prompt FROM marked WHERE i <= n GROUP BY conv_id)
+SELECT ids.pair_id, chosen_id, rejected_id, coalesce(f.n, 0) AS n_prompt_turns, coalesce(pr.prompt, '') AS prompt, coalesce(c.body, '') AS chosen,
+       coalesce(r.body, '') AS rejected, coalesce(c.spans, '') AS chosen_spans, coalesce(r.spans, '') AS rejected_spans
+FROM ids LEFT JOIN prefix f USING (pair_id) LEFT JOIN prompts pr ON pr.conv_id = ids.chosen_id
+LEFT JOIN spans c ON c.conv_id = chosen_id LEFT JOIN spans r ON r.conv_id = rejected_id
+"""
+
+
+@query("op9_preference", OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2i (chosen) and 2i + 1 (rejected) as prompt and masked completions."""
+    return preference.formatted(preference.neighbour_pairs(table(spark, sf_dir, "conversations")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, preference
+from barloom.llm import fingerprints, mixing, preference, toxicity
 from barloom.llm.common import materialise, table
 
 QUERIES: dict = {}
@@ -80,3 +80,14 @@ LEFT JOIN spans c ON c.conv_id = chosen_id LEFT JOIN spans r ON r.conv_id = reje
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2i (chosen) and 2i + 1 (rejected) as prompt and masked completions."""
     return preference.formatted(preference.neighbour_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from documents outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(~out)
+    model = toxicity.train(docs.filter(~out), labels)
+    return (toxicity.score(docs, model)
+            .select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, preference, toxicity
+from barloom.llm import fingerprints, mixing, preference, sentences, toxicity
 from barloom.llm.common import materialise, table
 
 QUERIES: dict = {}
@@ -91,3 +91,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.filter(~out), labels)
     return (toxicity.score(docs, model)
             .select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+@query("op3_sentence_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of runs that an earlier place has."""
+    return (sentences.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", "n_sentences", "removed_sentences", "removed_words", "text"))

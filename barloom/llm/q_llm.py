@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, preference, sentences, toxicity
+from barloom.llm import bpe, fingerprints, mixing, preference, sentences, toxicity
 from barloom.llm.common import materialise, table
 
 QUERIES: dict = {}
@@ -98,3 +99,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the sentences of runs that an earlier place has."""
     return (sentences.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
             .select("doc_id", "n_sentences", "removed_sentences", "removed_words", "text"))
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by backtracking and decoded again, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

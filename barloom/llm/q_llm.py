@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, fingerprints, mixing, preference, sentences, toxicity
+from barloom.llm import bpe, fingerprints, mixing, preference, sentences, tokenfiles, toxicity
 from barloom.llm.common import materialise, table
+from barloom.session import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -104,4 +107,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by backtracking and decoded again, as digests."""
-    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to compressed shards and read back."""
+    folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenfiles.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return tokenfiles.read_ids(spark, folder)

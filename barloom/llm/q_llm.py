@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, fingerprints, mixing, preference, sentences, tokenfiles, toxicity
+from barloom.llm import bpe, fingerprints, mixing, preference, sentences, tokenfiles, toxicity, unigram
 from barloom.llm.common import materialise, table
 from barloom.session import shared_dir
 
@@ -116,3 +116,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfiles.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return tokenfiles.read_ids(spark, folder)
+
+
+@query("op2_piece_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of all documents, over the pieces and scores of the sentencepiece file."""
+    return unigram.piece_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")

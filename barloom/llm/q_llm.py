@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, fingerprints, mixing, preference, sentences, tokenfiles, toxicity, unigram
+from barloom.llm import bpe, fingerprints, mixing, neighbours, preference, sentences, tokenfiles, toxicity, unigram
 from barloom.llm.common import materialise, table
 from barloom.session import shared_dir
 
@@ -122,3 +122,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram pieces of all documents, over the pieces and scores of the sentencepiece file."""
     return unigram.piece_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query("op5_nearest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(v, v.filter("vec_id % 100 = 0"))

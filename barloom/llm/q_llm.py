@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, fingerprints, mixing, neighbours, preference, sentences, tokenfiles, toxicity, unigram
+from barloom.llm import bpe, fingerprints, mixing, near, neighbours, preference, sentences, tokenfiles, toxicity, unigram
 from barloom.llm.common import materialise, table
 from barloom.session import shared_dir
 
@@ -129,3 +129,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth one."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(v, v.filter("vec_id % 100 = 0"))
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document: its smallest doc_id and its size."""
+    g = near.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return g.select(F.nullif("doc", F.lit(near.NO_ID)).alias("doc_id"), "group_id", "group_size", F.col("first").cast("int").alias("kept"))

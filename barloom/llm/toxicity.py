@@ -142,6 +142,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, cached_
         return docs.withColumn("score", F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = sent.value
         known: dict[str, tuple[str, ...]] = {}
@@ -169,8 +170,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, cached_
             z = np.array([one(t) for t in s])
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
-    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("score", udf(F.col("`text`")))
+    return docs.withColumn("score", run(F.col("`text`")))
 
 
 def held_out(doc_id: Column) -> Column:

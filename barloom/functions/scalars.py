@@ -46,11 +46,6 @@ def first_match(rules: Iterable[tuple[Column, object]], default) -> Column:
     return out.otherwise(rest)
 
 
-def text_flag(c) -> Column:
-    """Text booleans: true / 1 / yes / y."""
-    return flag(F.lower(F.trim(col(c).cast("string"))).isin("true", "1", "yes", "y"))
-
-
 def norm_code(c) -> Column:
     """Six-digit text code: drop a trailing .0, keep digits, last six, left-pad; '' when no digit."""
     text = F.regexp_replace(F.trim(col(c).cast("string")), r"^([0-9]+)\.0$", "$1")
@@ -110,10 +105,6 @@ def _limit(code, name, i: int) -> Column:
     return first_match(rules, LIMIT_MAIN[i])
 
 
-def limit_rule(code, name=None) -> Column:
-    return F.struct(limit_pct(code, name).alias("pct"), limit_board(code, name).alias("board"))
-
-
 def limit_flags(code, name, pct) -> Column:
     """Approximate up/down limit flags from a percentage change only."""
     lim, p = limit_pct(code, name), col(pct)
@@ -123,6 +114,15 @@ def limit_flags(code, name, pct) -> Column:
                     limit_board(code, name).alias("board"))
 
 
+#: Zone whose wall clock the rules' hours and days are read from.
+BUSINESS_TZ = "Asia/Shanghai"
+
+
+def business_clock(ts, tz: str = BUSINESS_TZ) -> Column:
+    """Wall-clock time of an instant in the business zone. A time without a zone is taken in the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit(tz), col(ts).cast("timestamp_ntz"))
+
+
 def epoch_to_ts(c) -> Column:
     """Seconds or milliseconds since the epoch."""
     x = col(c).cast("double")
@@ -132,9 +132,3 @@ def epoch_to_ts(c) -> Column:
 def strip_units(c) -> Column:
     """Numbers written with thousands separators, percent signs or Chinese magnitude suffixes."""
     return to_double(F.regexp_replace(F.trim(col(c).cast("string")), "[,，%亿万\\s]", ""))
-
-
-def second_highest(arr) -> Column:
-    """Second largest element, or the only one."""
-    s = F.sort_array(arr, asc=False)
-    return F.coalesce(F.get(s, 1), F.get(s, 0))

@@ -14,6 +14,10 @@ NOTE_DOWN = "同期概念客观行情退潮，系统保守降为WAIT"
 NOTE_UNKNOWN = "缺少同期板块客观行情，保留为条件观察，待14:40-14:45核验"
 NOTE_CAP = "观察池超过{cap}只，按个股结构70%和板块证据30%排序后未入围"
 LOW, MID, HIGH = "低", "中", "高"
+# Board states that make an observation conditional, and the gate's texts.
+UNVERIFIED, DIVERGED = "板块未核验", "同期概念分化"
+UNFIT, UNFIT_REASON = "不适合", "市场评估为不适合新开仓"
+GATE_REASON, GATE_NOTE = "突破回踩门禁未通过", "程序门禁降级WAIT："
 
 
 def _violation(df: DataFrame, rule: str, by: list[str]) -> DataFrame:
@@ -85,10 +89,13 @@ def cap_70_30(selected: DataFrame, resonance: DataFrame, cap: int = 10, by=("bat
 
 
 def observation_pool(pack: DataFrame, decisions: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Pack rows of selected decisions with decision columns and identity; sort by priority (nulls last) at the sink."""
-    d = decisions.select(*keys, "priority", "decision", "confidence", "risk")
+    """Pack rows of selected decisions with decision columns and identity; sort by priority (nulls last) at the sink. decisions.sector_state decides the
+    identity: a board that is not verified, or whose concepts diverge, makes it conditional."""
+    d = decisions.select(*keys, "priority", "decision", "confidence", "risk", "sector_state")
     x = pack.join(d, list(keys))
-    return x.withColumn("identity", F.when(F.coalesce("confidence", F.lit("")).isin(HIGH, MID), "核心观察").otherwise("条件观察"))
+    state = F.coalesce(F.nullif(F.trim("sector_state"), F.lit("")), F.lit(UNVERIFIED))
+    verified = ~state.isin(UNVERIFIED, DIVERGED) & ~state.contains("未核验")
+    return x.withColumn("identity", F.when(verified, "核心观察").otherwise("条件观察"))
 
 
 def opinion_context(opinions: DataFrame, days: DataFrame) -> DataFrame:
@@ -134,11 +141,13 @@ def risk_distance(decisions: DataFrame) -> DataFrame:
 
 
 def post_gate(selected: DataFrame, gate: DataFrame, market_fit: str = "", keys=("symbol",)) -> DataFrame:
-    """Rows the entry gate refuses, or a market judged unfit, become WAIT with position and zone zeroed."""
+    """Selected rows that the entry gate refuses, or all of them in a market judged unfit, become WAIT with position and zone zeroed;
+    why is added to the risk text."""
     x = selected.join(gate.select(*keys, "allowed", "gate_reason"), list(keys), "left")
-    stop = ~flag(F.col("allowed")) | F.lit(market_fit == "不适合")
-    x = x.withColumn("_w", flag(F.col("decision") == "TRADE") & stop)
-    note = F.concat(F.coalesce("reason", F.lit("")), F.lit("；"), F.coalesce("gate_reason", F.lit("入场门禁未通过")))
+    unfit = market_fit == UNFIT
+    x = x.withColumn("_w", ~flag(F.col("allowed")) | F.lit(unfit))
+    why = F.lit(UNFIT_REASON) if unfit else F.coalesce("gate_reason", F.lit(GATE_REASON))
+    note = F.concat(F.coalesce("risk", F.lit("")), F.when(F.coalesce("risk", F.lit("")) != "", "；").otherwise(""), F.lit(GATE_NOTE), why)
     return x.withColumns({"decision": F.when(F.col("_w"), "WAIT").otherwise(F.col("decision")),
                           **{c: F.when(F.col("_w"), 0.0).otherwise(F.col(c)) for c in ("position_pct", "zone_low", "zone_high")},
-                          "reason": F.when(F.col("_w"), note).otherwise(F.col("reason"))}).drop("_w", "allowed", "gate_reason")
+                          "risk": F.when(F.col("_w"), note).otherwise(F.col("risk"))}).drop("_w", "allowed", "gate_reason")

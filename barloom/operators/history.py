@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import first_match, flag
+from barloom.functions.scalars import BUSINESS_TZ, business_clock, first_match, flag
 from barloom.functions.scale import last_at_or_before
 from barloom.sources.ingest import last_n_bars
 
@@ -21,11 +21,14 @@ def seed_history(copies: DataFrame) -> DataFrame:
 
 
 def append_closed_day(hist: DataFrame, spot: DataFrame, pool: DataFrame, day: str, previous_day: str,
-                      guard: float = 0.015) -> tuple[DataFrame, DataFrame]:
+                      guard: float = 0.015, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(history with the day appended where allowed, outcome per symbol).
 
-    spot: symbol, close, open, high, low, previous, volume, amount, turnover.
+    spot: symbol, close, open, high, low, previous, volume, amount, turnover; of a symbol's rows the last in `order`
+    counts (a column of spot, such as its capture time), so that a date stays unique per symbol.
     """
+    last_row = F.max_by(F.struct(*spot.columns), F.struct(*([order] if order else []), *spot.columns))
+    spot = spot.groupBy(F.col("symbol").alias("_k")).agg(last_row.alias("_r")).select("_r.*")
     d, p = F.lit(day).cast("date"), F.lit(previous_day).cast("date")
     last = hist.groupBy("symbol").agg(F.max("trade_date").alias("_latest"), F.max_by("close", "trade_date").alias("_close"))
     x = pool.select("symbol").distinct().join(last, "symbol", "left").join(spot.withColumn("_q", F.lit(True)), "symbol", "left")
@@ -105,9 +108,10 @@ def trade_day_status(days: DataFrame, cal: DataFrame) -> DataFrame:
     return z.withColumns({"is_trade_day": flag(F.col("target_date") == F.col("day")), "weekday_rule": is_weekday("day")})
 
 
-def expected_latest(ts: str, is_trade_day: str, previous: str, close_hour: int = 15) -> Column:
-    """Last completed trade date at a moment: today only after the close of a trade day."""
-    return F.when(F.col(is_trade_day) & (F.hour(ts) >= close_hour), F.to_date(ts)).otherwise(F.col(previous))
+def expected_latest(ts: str, is_trade_day: str, previous: str, close_hour: int = 15, tz: str = BUSINESS_TZ) -> Column:
+    """Last completed trade date at a moment: today only after the close of a trade day, by the business clock."""
+    t = business_clock(ts, tz)
+    return F.when(F.col(is_trade_day) & (F.hour(t) >= close_hour), F.to_date(t)).otherwise(F.col(previous))
 
 
 def target_trade_date(days: DataFrame, cal: DataFrame) -> DataFrame:
@@ -118,9 +122,9 @@ def target_trade_date(days: DataFrame, cal: DataFrame) -> DataFrame:
     return z.withColumn("target_date", F.coalesce("_t", roll)).drop("_t")
 
 
-def business_date(ts, delayed: Column | None = None) -> Column:
-    """Before 06:00 belongs to the previous date; a delayed delivery before 20:00 as well."""
-    t = F.col(ts) if isinstance(ts, str) else ts
+def business_date(ts, delayed: Column | None = None, tz: str = BUSINESS_TZ) -> Column:
+    """Before 06:00 belongs to the previous date; a delayed delivery before 20:00 as well (business clock)."""
+    t = business_clock(ts, tz)
     early = F.hour(t) < 6
     if delayed is not None:
         early = early | (delayed & (F.hour(t) < 20))

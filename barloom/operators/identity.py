@@ -165,9 +165,10 @@ def master_code_list(master: DataFrame) -> DataFrame:
     return master.select(norm_code("symbol").alias("symbol")).filter(F.col("symbol").rlike("^[0-9]{6}$")).distinct()
 
 
-def symbol_universe(df: DataFrame) -> DataFrame:
-    """Aliased code and name columns, invalid codes dropped, one row per code."""
+def symbol_universe(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Aliased code and name columns, invalid codes dropped; of a code's rows the first by `order` (a column; by default the order of reading)."""
     from barloom.sources.ingest import CODE_NAMES, NAME_NAMES, rename_by_alias
-    z = rename_by_alias(df, {"symbol": CODE_NAMES, "name": NAME_NAMES})
-    z = z.select(norm_code("symbol").alias("symbol"), F.trim("name").alias("name")).filter(F.col("symbol").rlike("^[0-9]{6}$"))
-    return z.groupBy("symbol").agg(F.min("name").alias("name"))
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    z = rename_by_alias(df.withColumn("_at", at), {"symbol": CODE_NAMES, "name": NAME_NAMES, "_at": ["_at"]})
+    z = z.select(norm_code("symbol").alias("symbol"), F.trim("name").alias("name"), "_at").filter(F.col("symbol").rlike("^[0-9]{6}$"))
+    return z.groupBy("symbol").agg(F.min_by("name", "_at").alias("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import clip, first_match, flag
+from barloom.functions.scalars import BUSINESS_TZ, business_clock, clip, first_match, flag
 from barloom.functions.scale import last_at_or_before, top_k
 from barloom.operators.panel import base, by_symbol, highest, lag_col, lowest, mean, second_of, without_temps
 
@@ -146,9 +146,9 @@ def entry_gate(pool: DataFrame, snapshot: DataFrame, minute: DataFrame, resonanc
                                 "post_two", "bars_known", "event_platform", "price", "high", "low", "volume"))
 
 
-def tail_window_ok(ts: str, stage: str) -> Column:
+def tail_window_ok(ts: str, stage: str, tz: str = BUSINESS_TZ) -> Column:
     """Event time inside the stage's decision window (business clock)."""
-    hm = F.date_format(ts, "HH:mm")
+    hm = F.date_format(business_clock(ts, tz), "HH:mm")
     return F.when(F.lit(stage) == "precheck", hm.between("14:32", "14:44")).otherwise(hm.between("14:40", "14:55"))
 
 

@@ -22,10 +22,13 @@ def breadth_counts(spot: DataFrame, by=("trade_date",)) -> DataFrame:
                                  F.count_if(p == 0).alias("flat"))
 
 
-def best_snapshot(candidates: DataFrame, by=("trade_date",)) -> DataFrame:
-    """Rows of the source with most valid percentages, then most rows, per date."""
+def best_snapshot(candidates: DataFrame, order: list[str], by=("trade_date",)) -> DataFrame:
+    """Rows of the source with most valid percentages, then most rows, then first in `order`, per date. A source without a valid
+    percentage is no candidate; nor is one that `order` leaves out."""
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source"))
     n = candidates.groupBy(*by, "source").agg(F.count("pct").alias("_v"), F.count(F.lit(1)).alias("_n"))
-    best = n.groupBy(*by).agg(F.max_by("source", F.struct("_v", "_n", "source")).alias("source"))
+    n = n.withColumn("_p", place).filter((F.col("_v") > 0) & (F.col("_p") > 0))
+    best = n.groupBy(*by).agg(F.max_by("source", F.struct("_v", "_n", -F.col("_p"))).alias("source"))
     return candidates.join(best, [*by, "source"], "left_semi")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import flag
+from barloom.functions.scalars import flag, norm_code
 from barloom.functions.scale import attach, newest_row, top_k, with_scalars
 
 EXIT_WORDS = "已退出|已卖出|止盈退出|止损退出"  # fixed values
+NEVER_HELD = "未成交|取消"
 
 
 def latest_sources(meta: DataFrame, calendar: DataFrame, today: str, days: int = 3) -> DataFrame:
@@ -35,11 +36,14 @@ def exclude_active(pool: DataFrame, active: DataFrame) -> tuple[DataFrame, DataF
     return pool.join(a, "symbol", "left_anti"), pool.join(a, "symbol", "left_semi").select("symbol").distinct()
 
 
-def active_trades(positions: DataFrame, recos: DataFrame) -> DataFrame:
-    """Symbols held, or recommended and neither closed nor described as exited."""
-    held = positions.filter("qty > 0").select("symbol")
-    gone = F.coalesce(F.col("data_status"), F.lit("")).rlike(EXIT_WORDS) | flag(F.col("trade_status") == "已清仓")
-    return held.unionByName(recos.filter(~gone).select("symbol")).distinct()
+def active_trades(positions: DataFrame | None, recos: DataFrame) -> DataFrame:
+    """Symbols that stay locked: those held by the ledger. Only without a ledger (None), recommended trades that are not described
+    as exited, not filled or cancelled. recos: symbol, decision, data_status."""
+    if positions is not None:
+        return positions.filter("qty > 0").select("symbol").distinct()
+    gone = F.coalesce(F.col("data_status"), F.lit("")).rlike(f"{EXIT_WORDS}|{NEVER_HELD}")
+    trade = flag(F.upper("decision") == "TRADE")
+    return recos.filter(trade & ~gone).select(norm_code("symbol").alias("symbol")).filter("symbol <> ''").distinct()
 
 
 def exit_dates(recos: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from barloom.functions.scale import attach, newest_row, score_histogram, top_k,
 
 # Fixed values.
 CONCEPT, INDUSTRY, PERIODS = "概念", "行业", ("now", "3d", "5d", "10d", "20d")
+FAMILIES = (CONCEPT, INDUSTRY)
 READY, PARTIAL, TRIAL = "正式可用", "部分可用", "实验性有警告"
 GROUP_UP, GROUP_MIXED, GROUP_DOWN, GROUP_NONE = "高关注且涨幅靠前", "高关注但活跃分化", "高关注且观点退潮", "高关注但行情未核验"
 RETREAT = "退潮|走弱|弱化|冰点"
@@ -43,13 +44,15 @@ def cross_period_qa(flow: DataFrame) -> DataFrame:
 
 
 def sector_readiness(flow: DataFrame, qa: DataFrame) -> DataFrame:
-    """A family is complete with all five tables; readiness needs both, or one."""
+    """A family is complete with all five tables; one makes partial use possible, both without a failure full use. Warnings are
+    reported and change nothing. qa: warning, and failed where fetches can fail."""
     fam = flow.groupBy("board_type").agg(F.countDistinct("period").alias("n"))
     a = fam.agg(F.count_if(F.col("n") == len(PERIODS)).alias("complete"))
-    w = qa.agg(F.count_if("warning").alias("warnings"))
+    failed = F.col("failed") if "failed" in qa.columns else F.lit(False)
+    w = qa.agg(F.count_if("warning").alias("warnings"), F.count_if(failed).alias("failures"))
     x = with_scalars(a, w)
-    return x.select("complete", "warnings", (F.col("complete") > 0).alias("usable"), first_match(
-        [((F.col("complete") >= 2) & (F.col("warnings") == 0), READY), (F.col("complete") == 1, PARTIAL)], TRIAL).alias("readiness"))
+    return x.select("complete", "warnings", "failures", (F.col("complete") > 0).alias("usable"), first_match(
+        [((F.col("complete") >= 2) & (F.col("failures") == 0), READY), (F.col("complete") >= 1, PARTIAL)], TRIAL).alias("readiness"))
 
 
 def sector_leaders(flow: DataFrame, k: int = 15) -> DataFrame:
@@ -151,17 +154,25 @@ def unmapped(mapping: DataFrame, master: DataFrame) -> DataFrame:
 
 # ---- attribution -------------------------------------------------------------------------------------
 def sector_strength(flow: DataFrame, keep: int = 4) -> DataFrame:
-    """Rank per table, normalised, summed over tables, scaled to 70; the first evidences by table name."""
-    x = flow.withColumn("score", F.coalesce("net", "pct")).filter(F.col("score").isNotNull())
+    """Rank per table, normalised, summed over tables, scaled to 70; the first evidences in table order (family, then period),
+    with the value that was ranked. A table is ranked by net where it has that figure at all, else by percentage; rows without the table's
+    figure are not ranked."""
+    kind = flow.groupBy("board_type", "period").agg((F.count("net") > 0).alias("_net"))
+    x = (flow.join(kind, ["board_type", "period"]).withColumn("score", F.when(F.col("_net"), F.col("net")).otherwise(F.col("pct")))
+         .filter(F.col("score").isNotNull()))
     h = score_histogram(x, ["board_type", "period"], "score")
     x = attach(x, h, ["board_type", "period", "score"], ["min_rank", "n_scored", "ties"])
+    table = F.struct(F.array_position(F.array(*[F.lit(t) for t in FAMILIES]), F.col("board_type")).alias("f"),
+                     F.array_position(F.array(*[F.lit(p) for p in PERIODS]), F.col("period").cast("string")).alias("p"))
     # Ties are ordered by board name; tie groups hold boards of one table only.
     tie = W.partitionBy("board_type", "period", "score").orderBy("board")
     x = x.withColumn("place", F.col("min_rank") + F.row_number().over(tie) - 1)
     x = x.withColumn("norm", F.greatest(F.lit(0.0), 1 - (F.col("place") - 1) / F.col("n_scored")))
     ev = F.concat(F.col("board_type"), F.lit("_"), F.col("period"), F.lit("第"), F.col("place").cast("string"), F.lit("/"),
-                  F.col("n_scored").cast("string"))
-    s = x.groupBy("board").agg(F.sum("norm").alias("_s"), F.sort_array(F.collect_list(ev)).alias("_e"))
+                  F.col("n_scored").cast("string"), F.lit("（"), F.when(F.col("_net"), "净额").otherwise("涨跌幅"), F.lit("="),
+                  F.col("score").cast("decimal(24,2)").cast("string"), F.lit("）"))
+    s = x.groupBy("board").agg(F.sum("norm").alias("_s"), F.sort_array(F.collect_list(F.struct(table.alias("t"), ev.alias("ev")))).alias("_e"))
+    s = s.withColumn("_e", F.col("_e.ev"))
     top = s.agg(F.max("_s").alias("_max"))
     return (with_scalars(s, top)
             .select("board", F.round(F.col("_s") / F.col("_max") * 70, 4).alias("strength"), F.slice("_e", 1, keep).alias("evidence")))

@@ -40,10 +40,14 @@ def _(spark, sf):
     return ingest.read_pool_files(spark, [root])
 
 
-@query("pool_text", f"WITH {MAST} SELECT symbol, name FROM mast")
+@query("pool_text", f"WITH {MAST} SELECT symbol, name FROM mast UNION ALL SELECT '000001', '甲' UNION ALL SELECT '345678', '乙'")
 def _(spark, sf):
     m = v.master(spark, sf)
-    return ingest.read_pool_text(m.select(F.concat("symbol", F.lit("，"), "name").alias("value")).unionByName(m.select(F.lit("junk").alias("value"))))
+    line = lambda c, at: m.select(c.alias("value"), F.lit(at).alias("at"))
+    # Short and long codes, a second line for every code, and lines without a code.
+    rows = line(F.concat("symbol", F.lit("，"), "name"), 0).unionByName(line(F.lit("junk"), 0)).unionByName(line(F.concat("symbol", F.lit(" A")), 1))
+    rows = rows.unionByName(m.limit(1).select(F.explode(F.array(F.lit("1 甲"), F.lit("12345678 乙"))).alias("value"), F.lit(0).alias("at")))
+    return ingest.read_pool_text(rows, "at")
 
 
 @query("standardised_bars", f"WITH {BARS} " + r6("""SELECT symbol, trade_date, close, (close/lag(close) OVER w - 1)*100 AS pct_change, close - lag(close) OVER w AS change,
@@ -282,7 +286,9 @@ def _(spark, sf):
 
 @query("symbol_universe", f"WITH {MAST} SELECT symbol, name FROM mast")
 def _(spark, sf):
-    return identity.symbol_universe(v.master(spark, sf).select(F.concat("symbol", F.lit(".0")).alias("证券代码"), F.col("name").alias("名称")))
+    m = v.master(spark, sf).select(F.concat("symbol", F.lit(".0")).alias("证券代码"), F.col("name").alias("名称"), F.lit(0).alias("at"))
+    later = m.withColumns({"名称": F.lit("A"), "at": F.lit(1)})
+    return identity.symbol_universe(m.unionByName(later), "at")
 
 
 # ---- history and calendar ------------------------------------------------------------------------------
@@ -303,7 +309,9 @@ def _append(spark, sf):
     sp = la.join(m.select("symbol", "s_suppkey"), "symbol").filter("s_suppkey % 5 > 0")
     sp = sp.select("symbol", "close", F.lit(None).cast("double").alias("open"), "high", "low", F.when(F.col("s_suppkey") % 3 == 0, F.col("close") * 1.1).otherwise(F.col("close")).alias("previous"),
                    "volume", F.lit(None).cast("double").alias("amount"), F.lit(1.0).alias("turnover"))
-    return history.append_closed_day(b, sp, m, "2030-01-02", day)
+    # Every code twice; the earlier row would never be appended.
+    twice = sp.withColumn("at", F.lit(1)).unionByName(sp.withColumns({"at": F.lit(0), "close": F.lit(None).cast("double"), "previous": F.lit(1e9)}))
+    return history.append_closed_day(b, twice, m, "2030-01-02", day, order="at")
 
 
 @query("closed_day_outcomes", f"WITH {APP} SELECT symbol, outcome FROM o")
@@ -373,7 +381,7 @@ def _(spark, sf):
 @query("expected_latest_date", f"WITH {CAL} SELECT day, CASE WHEN day IN (SELECT trade_date FROM cal) AND dayofmonth(day) % 2 = 0 THEN day ELSE (SELECT max(trade_date) FROM cal WHERE trade_date < day) END AS expected FROM days")
 def _(spark, sf):
     c, d = cal(spark, sf)
-    x = history.trade_day_status(d, c).withColumn("ts", F.when(F.dayofmonth("day") % 2 == 0, F.col("day").cast("timestamp") + F.expr("INTERVAL 16 HOUR")).otherwise(F.col("day").cast("timestamp")))
+    x = history.trade_day_status(d, c).withColumn("ts", F.when(F.dayofmonth("day") % 2 == 0, F.col("day").cast("timestamp") + F.expr("INTERVAL 7 HOUR")).otherwise(F.col("day").cast("timestamp") + F.expr("INTERVAL 6 HOUR 59 MINUTE")))
     return x.select("day", history.expected_latest("ts", "is_trade_day", "previous_date").alias("expected"))
 
 
@@ -383,6 +391,6 @@ def _(spark, sf):
     return history.target_trade_date(d, c)
 
 
-@query("business_date", "SELECT event_id, CAST(CASE WHEN hour(ts) < 6 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS DATE) AS business_date, CAST(CASE WHEN hour(ts) < 20 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS DATE) AS delivery_date FROM events")
+@query("business_date", "SELECT event_id, CAST(CASE WHEN hour(t) < 6 THEN CAST(t AS DATE) - 1 ELSE CAST(t AS DATE) END AS DATE) AS business_date, CAST(CASE WHEN hour(t) < 20 THEN CAST(t AS DATE) - 1 ELSE CAST(t AS DATE) END AS DATE) AS delivery_date FROM (SELECT event_id, ts + INTERVAL 8 HOUR AS t FROM events)")
 def _(spark, sf):
     return v.table(spark, sf, "events").select("event_id", history.business_date("ts").alias("business_date"), history.business_date("ts", F.lit(True)).alias("delivery_date"))

@@ -35,12 +35,17 @@ def _(spark, sf):
     return market.breadth_counts(spot(spark, sf))
 
 
-@query("best_snapshot", f"WITH {SNAP} SELECT trade_date, symbol, 'full' AS source FROM spot")
+@query("best_snapshot", f"""WITH {SNAP}, n AS (SELECT trade_date, count(pct) AS a, count(CASE WHEN CAST(symbol AS INT) % 2 = 0 THEN pct END) AS h FROM spot GROUP BY 1)
+  SELECT trade_date, symbol, CASE WHEN h = a THEN 'half' ELSE 'full' END AS source FROM spot JOIN n USING (trade_date) WHERE a > 0
+  UNION ALL SELECT trade_date, symbol, 'one' FROM (SELECT DATE '2031-01-01' AS trade_date, symbol FROM spot WHERE trade_date = (SELECT max(trade_date) FROM spot))""")
 def _(spark, sf):
     s = spot(spark, sf)
     c = s.withColumn("source", F.lit("full")).unionByName(s.withColumn("source", F.lit("half")).withColumn("pct", F.when(F.col("symbol").cast("int") % 2 == 0, F.col("pct"))))
-    # A date without any valid percentage prefers the later name; such first days are taken out of both sides.
-    return market.best_snapshot(c.withColumn("source", F.when(F.col("source") == "full", "full").otherwise("a_half"))).select("trade_date", "symbol", "source")
+    # One more date on which three sources tie, one of them not in the order; and dates without a valid percentage, which have no source.
+    last = s.join(s.agg(F.max("trade_date").alias("trade_date")), "trade_date").select("symbol", F.lit(1.0).alias("pct"), F.lit("2031-01-01").cast("date").alias("trade_date"))
+    ties = last.select("*", F.explode(F.array(F.lit("zzz"), F.lit("one"), F.lit("two"))).alias("source"))
+    both = c.select("trade_date", "symbol", "pct", "source").unionByName(ties)
+    return market.best_snapshot(both, ["one", "half", "two", "full"]).select("trade_date", "symbol", "source")
 
 
 BR = SNAP + """, b0 AS (SELECT trade_date, count(pct) AS valid, count(CASE WHEN pct > 0 THEN 1 END) AS up, count(CASE WHEN pct < 0 THEN 1 END) AS down, count(CASE WHEN pct = 0 THEN 1 END) AS flat,
@@ -175,9 +180,21 @@ def _(spark, sf):
     return sectors.cross_period_qa(flow(spark, sf)[0])
 
 
-@query("sector_readiness", f"WITH {FLOW} SELECT count_if(n = 5) AS complete, 0::BIGINT AS warnings, count_if(n = 5) > 0 AS usable, CASE WHEN count_if(n = 5) >= 2 THEN '正式可用' WHEN count_if(n = 5) = 1 THEN '部分可用' ELSE '实验性有警告' END AS readiness FROM (SELECT board_type, count(DISTINCT period) AS n FROM flw GROUP BY 1)")
+READY = """SELECT '{case}' AS "case", count_if(n = 5) AS complete, {w}::BIGINT AS warnings, {f}::BIGINT AS failures, count_if(n = 5) > 0 AS usable,
+  CASE WHEN count_if(n = 5) >= 2 AND {f} = 0 THEN '正式可用' WHEN count_if(n = 5) >= 1 THEN '部分可用' ELSE '实验性有警告' END AS readiness
+  FROM (SELECT board_type, count(DISTINCT period) AS n FROM flw WHERE {where} GROUP BY 1)"""
+READY_CASES = [("all", 0, 0, "true"), ("warned", 1, 0, "true"), ("failed", 0, 1, "true"), ("one", 0, 0, "board_type = '概念'"), ("none", 2, 0, "period = 'now'")]
+
+
+@query("sector_readiness", f"WITH {FLOW} " + " UNION ALL ".join(READY.format(case=c, w=w, f=f, where=x) for c, w, f, x in READY_CASES))
 def _(spark, sf):
-    return sectors.sector_readiness(*flow(spark, sf))
+    fl, _qa = flow(spark, sf)
+    out = None
+    for c, w, f, x in READY_CASES:
+        marks = fl.limit(1).select(F.explode(F.array(*[F.struct(F.lit(i < w).alias("warning"), F.lit(w <= i < w + f).alias("failed")) for i in range(w + f + 1)])).alias("m")).select("m.*")
+        one = sectors.sector_readiness(fl.filter(x), marks).withColumn("case", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("sector_leaders", f"WITH {FLOW} " + r6("""SELECT board_type, period, board, 'pct' AS by, pct AS value, CAST(row_number() OVER (PARTITION BY board_type, period ORDER BY pct DESC, board) AS INT) AS place FROM flw QUALIFY place <= 15
@@ -279,8 +296,10 @@ def _(spark, sf):
     return sectors.unmapped(v.membership(spark, sf).join(s.filter("s_suppkey % 10 > 0"), "symbol", "left_semi"), s)
 
 
-STR = """st0 AS (SELECT *, row_number() OVER (PARTITION BY board_type, period ORDER BY net DESC, board) AS place, count(*) OVER (PARTITION BY board_type, period) AS n FROM flw),
- st1 AS (SELECT board, sum(1 - (place-1)/n) AS s, list_sort(list(concat(board_type,'_',period,'第',CAST(place AS VARCHAR),'/',CAST(n AS VARCHAR))))[1:4] AS ev FROM st0 GROUP BY 1),
+STR = """st00 AS (SELECT *, CASE WHEN count(net) OVER (PARTITION BY board_type, period) > 0 THEN net ELSE pct END AS score FROM flw),
+ st0 AS (SELECT *, row_number() OVER (PARTITION BY board_type, period ORDER BY score DESC, board) AS place, count(*) OVER (PARTITION BY board_type, period) AS n FROM st00 WHERE score IS NOT NULL),
+ st1 AS (SELECT board, sum(1 - (place-1)/n) AS s, list(concat(board_type,'_',period,'第',CAST(place AS VARCHAR),'/',CAST(n AS VARCHAR),'（净额=',CAST(CAST(score AS DECIMAL(24,2)) AS VARCHAR),'）')
+   ORDER BY list_position(['概念','行业'], board_type), list_position(['now','3d','5d','10d','20d'], CAST(period AS VARCHAR)), place)[1:4] AS ev FROM st0 GROUP BY 1),
  stren AS (SELECT board, round(s/(SELECT max(s) FROM st1)*70, 4) AS strength, array_to_string(ev, '；') AS ev FROM st1)"""
 
 
@@ -444,7 +463,7 @@ def _(spark, sf):
     return intraday.robust_platform(v.bars(spark, sf)).select("symbol", "trade_date", "robust_upper")
 
 
-@query("tail_window", "SELECT event_id, strftime(ts, '%H:%M') BETWEEN '14:32' AND '14:44' AS precheck_ok, strftime(ts, '%H:%M') BETWEEN '14:40' AND '14:55' AS finalize_ok FROM events")
+@query("tail_window", "SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%H:%M') BETWEEN '14:32' AND '14:44' AS precheck_ok, strftime(ts + INTERVAL 8 HOUR, '%H:%M') BETWEEN '14:40' AND '14:55' AS finalize_ok FROM events")
 def _(spark, sf):
     return v.table(spark, sf, "events").select("event_id", intraday.tail_window_ok("ts", "precheck").alias("precheck_ok"), intraday.tail_window_ok("ts", "finalize").alias("finalize_ok"))
 
@@ -540,11 +559,12 @@ def _(spark, sf):
     return decisions.sector_gate(c, st, ("batch", "symbol")).select("batch", "symbol", "decision", "kept", "confidence")
 
 
-@query("observation_pool", f"WITH {DEC} SELECT batch, symbol, priority, CASE WHEN n % 2 = 0 THEN '核心观察' ELSE '条件观察' END AS identity FROM sel")
+@query("observation_pool", f"WITH {DEC} SELECT batch, symbol, priority, CASE WHEN n % 4 = 0 THEN '核心观察' ELSE '条件观察' END AS identity FROM sel")
 def _(spark, sf):
     c = candidates(spark, sf)
     d = c.filter("n % 3 > 0").select("batch", "symbol", F.when(F.col("n") % 7 == 0, None).otherwise(F.col("n") % 9 + 1).alias("priority"), F.lit("SELECT").alias("decision"),
-                                     F.when(F.col("n") % 2 == 0, "高").otherwise("低").alias("confidence"), F.lit("").alias("risk"))
+                                     F.when(F.col("n") % 2 == 0, "高").otherwise("低").alias("confidence"), F.lit("").alias("risk"),
+                                     F.when(F.col("n") % 4 == 0, "同期概念共振").when(F.col("n") % 4 == 1, "同期概念分化").when(F.col("n") % 4 == 2, "板块未核验").alias("sector_state"))
     return decisions.observation_pool(c, d, ("batch", "symbol")).select("batch", "symbol", "priority", "identity")
 
 
@@ -585,8 +605,16 @@ def _(spark, sf):
     return decisions.risk_distance(tail_decisions(spark, sf)).select("batch", "symbol", "risk_distance")
 
 
-@query("tail_post_gate", f"WITH {DEC}, {TAIL} SELECT batch, symbol, CASE WHEN trade AND n % 8 = 0 THEN 'TRADE' ELSE 'WAIT' END AS decision, CASE WHEN trade AND n % 8 = 0 THEN 20.0 ELSE 0.0 END AS position_pct FROM td")
+@query("tail_post_gate", f"""WITH {DEC}, {TAIL}, fit AS (SELECT unnest(['适合', '不适合']) AS fit), g AS (SELECT *, n % 8 = 0 AND fit = '适合' AS ok FROM td, fit)
+  SELECT fit, batch, symbol, CASE WHEN trade AND ok THEN 'TRADE' ELSE 'WAIT' END AS decision, CASE WHEN trade AND ok THEN 20.0 ELSE 0.0 END AS position_pct,
+    CASE WHEN ok THEN stop * 0.99 ELSE 0.0 END AS zone_low,
+    CASE WHEN ok THEN r ELSE concat(r, CASE WHEN r <> '' THEN '；' ELSE '' END, '程序门禁降级WAIT：', CASE WHEN fit = '不适合' THEN '市场评估为不适合新开仓' WHEN n % 3 = 0 THEN '突破回踩门禁未通过' ELSE 'x' END) END AS risk
+  FROM (SELECT *, CASE WHEN n % 5 = 0 THEN 'r' ELSE '' END AS r FROM g)""".replace("stop * 0.99 ELSE", "round(stop * 0.99, 6) ELSE"))
 def _(spark, sf):
-    d = tail_decisions(spark, sf)
-    g = candidates(spark, sf).select("batch", "symbol", (F.col("n") % 8 == 0).alias("allowed"), F.lit("x").alias("gate_reason"))
-    return decisions.post_gate(d, g, keys=("batch", "symbol")).select("batch", "symbol", "decision", "position_pct")
+    n = F.col("n")
+    c = candidates(spark, sf)
+    d = tail_decisions(spark, sf).join(c.select("batch", "symbol", F.when(n % 5 == 0, "r").alias("risk")), ["batch", "symbol"])
+    g = c.select("batch", "symbol", (n % 8 == 0).alias("allowed"), F.when(n % 3 > 0, "x").alias("gate_reason"))
+    cols = ("batch", "symbol", "decision", "position_pct", "zone_low", F.coalesce("risk", F.lit("")).alias("risk"))
+    fit, unfit = (decisions.post_gate(d, g, m, ("batch", "symbol")).select(F.lit(m).alias("fit"), *cols) for m in ("适合", "不适合"))
+    return fit.unionByName(unfit)

@@ -76,23 +76,26 @@ def _(spark, sf):
     return out
 
 
-@query("source_fingerprint", f"WITH {IDS} SELECT article_day, count(*) AS n, true AS delivered, 64 AS width FROM d2 GROUP BY 1")
+@query("source_fingerprint", f"""WITH {IDS}, f AS (SELECT article_day, count(*) AS n, sha256('[' || string_agg('"' || url || '"', ', ' ORDER BY url) || ']') AS fingerprint FROM d2 GROUP BY 1)
+  SELECT article_day, n, fingerprint, dayofmonth(article_day) % 4 <= 1 AS delivered FROM f""")
 def _(spark, sf):
-    d = ident(spark, sf)
-    f = o.source_fingerprint(d)
-    z = o.already_delivered(f, o.source_fingerprint(d.repartition(3, "url")))
-    return d.groupBy("article_day").agg(F.count(F.lit(1)).alias("n")).join(z, "article_day").select("article_day", "n", "delivered", F.length("fingerprint").alias("width"))
+    f = o.source_fingerprint(ident(spark, sf))
+    # Receipts: accepted for this set; accepted before sets were named; failed; accepted for another set.
+    k = F.dayofmonth("article_day") % 4
+    r = f.select("article_day", F.when(k == 2, "failed").otherwise("delivered").alias("status"), "n_sources",
+                 F.when(k == 1, "").when(k == 3, "0").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return o.already_delivered(f, r).select("article_day", F.col("n_sources").alias("n"), "fingerprint", "delivered")
 
 
-@query("top_links", """SELECT u AS url, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM (SELECT doc_id, concat('http://h', CAST(doc_id % 3 AS VARCHAR), '.org/', CAST(doc_id // 2 AS VARCHAR)) AS u FROM documents WHERE doc_id % 3 < 2) QUALIFY place <= 30""")
+@query("top_links", """SELECT u AS url, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS place FROM (SELECT doc_id, concat('http://h', CAST(doc_id % 3 AS VARCHAR), '.org/', CAST(doc_id // 2 AS VARCHAR)) AS u FROM documents) QUALIFY place <= 30 AND u NOT LIKE 'http://h2%'""")
 def _(spark, sf):
-    return o.top_links(docs(spark, sf), ("h0.org", "h1.org")).select("url", "place")
+    return o.top_links(docs(spark, sf), ("http://h0.org/", "http://h1.org/")).select("url", "place")
 
 
-@query("finalise_gate", """WITH d AS (SELECT CAST(ts AS DATE) AS day, max(ts) AS now, count(*) AS n FROM events GROUP BY 1) SELECT day AS article_day, n >= 15 AND hour(now) >= 22 AS release, CASE WHEN hour(now) < 22 THEN 'collect_until_22'
+@query("finalise_gate", """WITH d AS (SELECT CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, max(ts + INTERVAL 8 HOUR) AS now, count(*) AS n FROM events GROUP BY 1) SELECT day AS article_day, n >= 15 AND hour(now) >= 22 AS release, CASE WHEN hour(now) < 22 THEN 'collect_until_22'
   WHEN n >= 15 THEN 'deadline_minimum_met' ELSE 'minimum_quality_articles_not_met' END AS release_reason FROM d""")
 def _(spark, sf):
-    d = v.table(spark, sf, "events").groupBy(F.to_date("ts").alias("article_day")).agg(F.max("ts").alias("now"), F.count(F.lit(1)).alias("n_docs"))
+    d = v.table(spark, sf, "events").groupBy(F.to_date(F.expr("ts + INTERVAL 8 HOUR")).alias("article_day")).agg(F.max("ts").alias("now"), F.count(F.lit(1)).alias("n_docs"))
     return o.finalise_gate(d).select("article_day", "release", "release_reason")
 
 

@@ -45,10 +45,10 @@ def _(spark, sf):
     e = streams.read_ticks(spark, sf, "events.parquet").select("event_id", "user_id", "ts")
     twice = e.unionByName(streams.read_ticks(spark, sf, "events.parquet").select("event_id", "user_id", "ts"))
     rows = twice.withColumn("txn_id", F.sha2(F.concat_ws("|", "event_id", "user_id", "ts"), 256))
-    return spark.read.parquet(streams.run_to_table(streams.stream_ingest(rows, lateness="60 days"), "ingest")).select("event_id", "user_id")
+    return spark.read.parquet(streams.stream_ingest(rows)).select("event_id", "user_id")
 
 
-@query("stream_late_data", "SELECT event_id, strftime(ts, '%H:%M') BETWEEN '14:32' AND '14:55' AS on_time FROM events")
+@query("stream_late_data", "SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%H:%M') BETWEEN '14:32' AND '14:55' AS on_time FROM events")
 def _(spark, sf):
     e = streams.read_ticks(spark, sf, "events.parquet").select("event_id", "ts")
     on, late = streams.late_data_rule(e, "14:32", "14:55")

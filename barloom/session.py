@@ -23,10 +23,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
     Rows of the feature panel are wide. Whole-stage methods over them pass the JVM's 8,000-byte limit for
     compiled methods and are then interpreted, which costs three to five times; per-operator code is split
-    into small methods. The field limit sends only such wide plans that way. Dates are taken in UTC.
+    into small methods. The field limit sends only such wide plans that way. The session's zone is left alone: rules
+    that read hours or days take the business zone as a parameter.
     """
     spark.conf.set("spark.sql.codegen.maxFields", "40")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -47,11 +47,13 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees: the session's checkpoint setting. Only where that is unset (tests, one
-    machine) a fresh local folder is taken, once per application."""
+    """Folder every executor sees: the session's checkpoint setting. Only where that is unset and everything runs on one
+    machine (a local master) a fresh local folder is taken, once per application."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="barloom-shared-")

@@ -65,11 +65,13 @@ def read_pool_files(spark: SparkSession, paths: list[str], encodings=("UTF-8", "
     raise ValueError("no code or name header found")
 
 
-def read_pool_text(lines: DataFrame) -> DataFrame:
-    """One symbol per line (column value): first token is the code, the rest the name."""
+def read_pool_text(lines: DataFrame, order: str | None = None) -> DataFrame:
+    """One symbol per line (column value): the first token gives the code, the rest the name. Of a code's lines the first by `order` (a column; by default
+    the order of reading) stays."""
     p = F.split(F.trim("value"), r"[,，\s]+", 2)
-    z = lines.select(F.regexp_extract(p[0], r"([0-9]{6})", 1).alias("symbol"), F.coalesce(F.trim(F.get(p, 1)), F.lit("")).alias("name"))
-    return z.filter("symbol <> ''").groupBy("symbol").agg(F.min("name").alias("name"))
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    z = lines.select(norm_code(p[0]).alias("symbol"), F.coalesce(F.trim(F.get(p, 1)), F.lit("")).alias("name"), at.alias("_at"))
+    return z.filter("symbol <> ''").groupBy("symbol").agg(F.min_by("name", "_at").alias("name"))
 
 
 def standardise_bars(df: DataFrame, source: str = "") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.functions.scalars import BUSINESS_TZ, business_clock, flag
 from barloom.operators.market import breadth_counts
 from barloom.session import shared_dir
 
@@ -58,28 +59,53 @@ def stream_exit_alerts(bars5m: DataFrame, stops: DataFrame) -> DataFrame:
     return j.groupBy("symbol").applyInPandasWithState(_alerts, ALERT_SCHEMA, "close double", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_ingest(rows: DataFrame, key: str = "txn_id", event_time: str = "ts", lateness: str = "1 day") -> DataFrame:
-    """Exactly-once rows by content id within the watermark."""
-    return rows.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
+def stream_ingest(rows: DataFrame, name: str = "ingest", key: str = "txn_id") -> str:
+    """Append each content id once to a stored ledger; returns its path. A batch keeps the ids that no earlier batch has stored, however late they come, and
+    writes them under its own number, so that a batch run again after a failure replaces what it wrote."""
+    spark = rows.sparkSession
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(f"{root}/table/batch=-1")
 
+    def step(batch: DataFrame, number: int) -> None:
+        stored = batch.sparkSession.read.parquet(f"{root}/table").filter((F.col("batch") < number) & F.col(key).isNotNull())
+        new = batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{root}/table/batch={number}")
 
-def late_data_rule(rows: DataFrame, start: str, end: str, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """(rows inside the decision window by event time, side output of the others)."""
-    hm = F.date_format(ts, "HH:mm")
-    return rows.filter(hm.between(start, end)), rows.filter(~hm.between(start, end))
+    rows.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return f"{root}/table"
+
+
+def late_data_rule(rows: DataFrame, start: str, end: str, ts: str = "ts", tz: str = BUSINESS_TZ) -> tuple[DataFrame, DataFrame]:
+    """(rows inside the decision window by event time on the business clock, side output of the others)."""
+    inside = flag(F.date_format(business_clock(ts, tz), "HH:mm").between(start, end))
+    return rows.filter(inside), rows.filter(~inside)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
-    """Drain the available input into a parquet table in the shared folder; returns its path."""
-    root = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> str:
+    """Drain the available input into a parquet table in the shared folder; returns its path.
+
+    A complete result replaces the table. An update result replaces the rows with its keys and leaves the others; every batch writes a table of its own from the one before, so a
+    batch run again gives the same."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        q = w.format("parquet").option("path", f"{root}/table").start()
-    else:
-        # A complete or update result replaces the table of the batch, so a repeated batch changes nothing.
-        q = w.foreachBatch(lambda b, _id: b.write.mode("overwrite").parquet(f"{root}/table")).start()
-    q.awaitTermination()
-    return f"{root}/table"
+        w.format("parquet").option("path", f"{root}/table").start().awaitTermination()
+        return f"{root}/table"
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    spark.createDataFrame([], df.schema).write.parquet(f"{root}/table--1")
+    last = [-1]
+
+    def step(batch: DataFrame, number: int) -> None:
+        if mode == "update":
+            before = batch.sparkSession.read.parquet(f"{root}/table-{number - 1}")
+            batch = batch.unionByName(before.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns))
+        batch.write.mode("overwrite").parquet(f"{root}/table-{number}")
+        last[0] = number
+
+    w.foreachBatch(step).start().awaitTermination()
+    return f"{root}/table-{last[0]}"
 
 
 def stream_breadth(ticks: DataFrame, previous: DataFrame, name: str = "breadth") -> str:

@@ -9,6 +9,7 @@ from barloom.functions.scalars import first_match, flag, to_double
 from barloom.functions.scale import attach, exact_median, last_at_or_before, newest_row
 from barloom.operators.ledger import CLOSED, OPEN, trade_cycles
 from barloom.operators.panel import by_symbol, spread
+from barloom.session import materialise
 
 # Data states and result labels.
 NO_BARS, WAIT_CLOSE, NO_CLOSE, DONE, TRACKING = "行情缺失", "等待推荐日正式收盘", "推荐日收盘缺失", "D+10完成", "跟踪中"
@@ -41,8 +42,24 @@ def recover_reference(recos: DataFrame, snaps: DataFrame) -> DataFrame:
             .withColumn("reference_price", F.coalesce("reference_price", "_p")).drop("_p"))
 
 
+def _set_aside(recos: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """recos with the columns that a step is about to compute under other names, so that a registry can go through the step again."""
+    return recos.withColumnsRenamed({c: f"_old_{c}" for c in names if c in recos.columns})
+
+
+def _merged(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """New values where there are any, else what the registry held."""
+    held = [c for c in names if f"_old_{c}" in df.columns]
+    return df.withColumns({c: F.coalesce(c, f"_old_{c}") for c in held}).drop(*[f"_old_{c}" for c in held])
+
+
+SCORES = (*(f"d{h}_{x}" for h in HORIZONS for x in ("date", "close")), *(f"ret_d{h}_pct" for h in HORIZONS), "stop_touch_3", "stop_touch_5", "first_touch_date")
+OUTCOMES = ("trade_status", "actual_return_pct", "actual_result", "actual_buy_date", "actual_sell_date", "n_cycles", "exit_tracking_date")
+
+
 def evaluate(recos: DataFrame, bars: DataFrame, asof: str | None = None) -> DataFrame:
-    """Closes 3, 5 and 10 bars on and stop touches: one window over bars, one equi join."""
+    """Closes 3, 5 and 10 bars on and stop touches: one window over bars, one equi join. Scores that bars no longer give stay as they were."""
+    recos = _set_aside(recos, SCORES)
     b = bars if asof is None else bars.filter(F.col("trade_date") <= F.lit(asof).cast("date"))
     w = by_symbol()
     cols = {}
@@ -75,7 +92,7 @@ def evaluate(recos: DataFrame, bars: DataFrame, asof: str | None = None) -> Data
         (F.col("_known").isNull(), NO_BARS),
         (F.col("_bar").isNull() & F.col("anchor_close").isNotNull(), ANCHOR_KEPT), (F.col("_bar").isNull(), WAIT_CLOSE),
         (~F.col("_good"), NO_CLOSE), (done, DONE)], TRACKING)
-    return z.select(
+    out = z.select(
         *[c for c in recos.columns if c not in ("anchor_close", "data_status")], "anchor_close",
         *[F.when(F.col("_good"), F.col(f"d{h}_date")).alias(f"d{h}_date") for h in HORIZONS],
         *[F.when(F.col("_good"), F.col(f"_c{h}")).alias(f"d{h}_close") for h in HORIZONS],
@@ -84,6 +101,7 @@ def evaluate(recos: DataFrame, bars: DataFrame, asof: str | None = None) -> Data
         touched(3).alias("stop_touch_3"), touched(5).alias("stop_touch_5"),
         F.coalesce(*[F.when(touch[k], F.col(f"_day{k}")) for k in range(1, 6)]).alias("first_touch_date"),
         status.alias("data_status"))
+    return _merged(out, SCORES)
 
 
 def _stats(values: DataFrame, keys: list[str], v: str) -> DataFrame:
@@ -109,7 +127,8 @@ def actual_outcomes(recos: DataFrame, txns: DataFrame, days: int = 14) -> DataFr
 
     The as-of step runs over distinct (symbol, date) pairs, so a hot symbol stays bounded by the calendar.
     """
-    cyc = trade_cycles(txns)
+    recos = _set_aside(recos, OUTCOMES)
+    cyc = materialise(trade_cycles(txns), "feedback-cycles")
     facts = recos.groupBy("symbol", "reco_date").agg(F.min("reco_id").alias("_rid")).withColumn("_rd", F.col("reco_date"))
     hit = last_at_or_before(facts, cyc, "symbol", "reco_date", "buy_date", ["_rid", "_rd"])
     hit = hit.filter(F.datediff("buy_date", "_rd") <= days)
@@ -126,8 +145,8 @@ def actual_outcomes(recos: DataFrame, txns: DataFrame, days: int = 14) -> DataFr
     z = recos.join(agg.drop("_closed", "_cost", "_net"), "reco_id", "left")
     old = F.col("data_status") if "data_status" in recos.columns else F.lit(None).cast("string")
     closed = F.col("trade_status") == CLOSED
+    z = _merged(z.withColumn("exit_tracking_date", F.when(closed, F.col("actual_sell_date"))), OUTCOMES)
     return z.withColumns({
-        "exit_tracking_date": F.when(closed, F.col("actual_sell_date")),
         "data_status": F.when(closed, SOLD).when((F.col("trade_status") == OPEN)
                                                 & ~F.coalesce(old.startswith("D+10"), F.lit(False)), HELD).otherwise(old)})
 
@@ -181,14 +200,14 @@ def weekly_summary(recos: DataFrame, asof: str) -> DataFrame:
     return m.join(t, "horizon", "left").withColumn("iso_week", week)
 
 
-def update_feedback(recos: DataFrame, txns: DataFrame, bars: DataFrame, asof: str | None = None) -> DataFrame:
-    """Executed outcomes first; horizons are then scored for everything not closed."""
-    a = actual_outcomes(recos, txns)
-    keep = ["reco_id", "trade_status", "actual_buy_date", "actual_sell_date", "actual_return_pct", "actual_result"]
-    e = evaluate(recos, bars, asof)
-    z = e.join(a.select(*keep, F.col("data_status").alias("_actual")), "reco_id", "left")
-    status = F.when(_is_closed(), F.col("_actual")).otherwise(F.col("data_status"))
-    return z.withColumn("data_status", status).drop("_actual")
+def update_feedback(recos: DataFrame, txns: DataFrame, bars: DataFrame, asof: str | None = None, snaps: DataFrame | None = None) -> DataFrame:
+    """The registry after a day: executed outcomes first; what is closed stays as it is, the rest gets a lost reference price back (from
+    snaps, if given) and is scored. The result is stored, and may be given to the next call: running twice changes nothing."""
+    a = materialise(actual_outcomes(recos, txns), "feedback-outcomes")
+    open_ = a.filter(~_is_closed())
+    if snaps is not None:
+        open_ = recover_reference(open_, snaps)
+    return materialise(evaluate(open_, bars, asof).unionByName(a.filter(_is_closed()), allowMissingColumns=True), "feedback")
 
 
 def bars_covering(stored: DataFrame, fallback: DataFrame, wanted: DataFrame) -> DataFrame:

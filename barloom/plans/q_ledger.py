@@ -232,7 +232,8 @@ def _(spark, sf):
         "reco_id", "n_cycles", "actual_buy_date", "actual_sell_date", "trade_status", "actual_return_pct", "actual_result")
 
 
-FB = OUT + """, fb AS (SELECT ev.* EXCLUDE (data_status), trade_status, actual_return_pct, actual_sell_date,
+_SCORED = "anchor_close d3_date d5_date d10_date ret_d3_pct ret_d5_pct ret_d10_pct stop_touch_3 stop_touch_5 first_touch_date".split()
+FB = OUT + ", fb AS (SELECT reco_id, symbol, reco_date, stop, " + ", ".join(f"CASE WHEN coalesce(trade_status, '') <> '已清仓' THEN {c} END AS {c}" for c in _SCORED) + """, trade_status, actual_return_pct, actual_sell_date,
   CASE WHEN trade_status = '已清仓' THEN '实盘已卖出' ELSE data_status END AS data_status FROM ev JOIN ao USING (reco_id))"""
 
 
@@ -246,6 +247,18 @@ def _(spark, sf):
     return _fb(spark, sf).select("reco_id", "ret_d3_pct", "ret_d10_pct", "trade_status", "actual_return_pct", "data_status")
 
 
+@query("feedback_twice", f"WITH {FB} " + r6("""SELECT reco_id, d3_date, ret_d3_pct, ret_d10_pct, trade_status, actual_return_pct, actual_sell_date, data_status,
+  (SELECT any_value(close) FROM bars b WHERE b.symbol = fb.symbol AND b.trade_date = fb.reco_date AND coalesce(trade_status, '') <> '已清仓') AS reference_price FROM fb""",
+                                            "ret_d3_pct ret_d10_pct actual_return_pct reference_price"))
+def _(spark, sf):
+    b = v.bars(spark, sf)
+    snaps = b.select("symbol", "trade_date", F.col("close").alias("price"), F.col("trade_date").alias("captured_at"))
+    lost = v.recos(spark, sf).withColumn("reference_price", F.lit(None).cast("double"))
+    once = feedback.update_feedback(lost, v.ledger(spark, sf), b, snaps=snaps)
+    return feedback.update_feedback(once, v.ledger(spark, sf), b, snaps=snaps).select(
+        "reco_id", "d3_date", "ret_d3_pct", "ret_d10_pct", "trade_status", "actual_return_pct", "actual_sell_date", "data_status", "reference_price")
+
+
 ASOF = "1997-03-03"
 
 

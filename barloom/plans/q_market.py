@@ -559,6 +559,18 @@ def _(spark, sf):
     return decisions.sector_gate(c, st, ("batch", "symbol")).select("batch", "symbol", "decision", "kept", "confidence")
 
 
+@query("active_trades", f"""WITH {DEC} SELECT DISTINCT symbol, 'reco' AS kind FROM cand WHERE n % 6 = 0 UNION ALL SELECT DISTINCT symbol, 'ledger' FROM cand WHERE n % 4 = 1""")
+def _(spark, sf):
+    c = candidates(spark, sf)
+    n = F.col("n") % 6
+    # Without a ledger only open trades lock; exited, unfilled and cancelled ones, and decisions that were no trades, do not.
+    r = c.select("symbol", F.when(n == 1, "WAIT").otherwise("trade").alias("decision"),
+                 F.when(n == 2, "x已卖出").when(n == 3, "未成交").when(n == 4, "取消").when(n == 5, "止损退出").alias("data_status"))
+    held = c.select("symbol", (F.col("n") % 4 == 1).cast("int").alias("qty"))
+    a = observation.active_trades(None, r).withColumn("kind", F.lit("reco"))
+    return a.unionByName(observation.active_trades(held, r).withColumn("kind", F.lit("ledger")))
+
+
 @query("observation_pool", f"WITH {DEC} SELECT batch, symbol, priority, CASE WHEN n % 4 = 0 THEN '核心观察' ELSE '条件观察' END AS identity FROM sel")
 def _(spark, sf):
     c = candidates(spark, sf)

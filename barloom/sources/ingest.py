@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +11,8 @@ from barloom.functions.scale import newest_row, top_k
 from barloom.operators.panel import by_symbol
 
 # Header aliases.
-CODE_NAMES, NAME_NAMES = ["股票代码", "证券代码", "代码", "code", "symbol"], ["股票名称", "证券名称", "名称", "name"]
+CODE_NAMES = ["股票代码", "证券代码", "代码", "stockcode", "code", "symbol"]
+NAME_NAMES = ["股票名称", "证券名称", "证券简称", "名称", "stockname", "name"]
 BAR_ALIASES = {
     "symbol": CODE_NAMES, "name": NAME_NAMES, "trade_date": ["日期", "date", "trade_date"], "open": ["开盘价", "开盘", "今开", "open"],
     "high": ["最高价", "最高", "high"], "low": ["最低价", "最低", "low"], "close": ["收盘价", "收盘", "close"],
@@ -26,20 +25,23 @@ SPOT_ALIASES = {
 SEPARATORS = ("\t", ",", ";", "|")
 
 
-def _plain(name: str) -> str:
-    return re.sub(r"[\s_\-]+", "", name.strip()).lower()
+def header_key(name: str) -> str:
+    """A header without what writers vary: case, blanks, hyphens, underscores."""
+    return "".join(ch for ch in name.casefold() if not ch.isspace() and ch not in "-_")
 
 
 def resolve_header(columns: list[str], aliases: list[str]) -> str | None:
-    """Exact alias first (in alias order), then the first column that contains any alias."""
-    wanted = [_plain(a) for a in aliases]
-    by_plain = {}
-    for c in columns:
-        by_plain[_plain(c)] = c
-    for w in wanted:
-        if w in by_plain:
-            return by_plain[w]
-    return next((c for c in columns if any(w in _plain(c) for w in wanted)), None)
+    """The column with the lowest score: an exact alias scores its place in the list (of equal headers the last counts), a column that only contains one
+    scores after all aliases (of such columns the first counts)."""
+    place = {header_key(a): i for i, a in reversed(list(enumerate(aliases)))}
+    scored = []
+    for at, column in enumerate(columns):
+        key = header_key(column)
+        if key in place:
+            scored.append((place[key], -at, column))
+        elif any(part in key for part in place):
+            scored.append((len(aliases), at, column))
+    return min(scored)[2] if scored else None
 
 
 def rename_by_alias(df: DataFrame, aliases: dict[str, list[str]], keep_extra: bool = False) -> DataFrame:

@@ -303,3 +303,98 @@ def test_opinion_dates(spark):
     assert all(r.got == r.ok for r in t.withColumn("got", opinions.title_date_ok("t", "2026-09-11")).collect())
     p = frame(spark, [("发表于 2026-09-11 21:05",), ("26-09-11 21:05",), ("none",)], "t string").select(opinions.published_at("t").alias("p")).collect()
     assert [r.p for r in p] == [dt.datetime(2026, 9, 11, 21, 5)] * 2 + [None]
+
+
+# ---- cases that the driver's tables do not hold --------------------------------------------------------
+def test_business_clock_boundaries(spark):
+    from barloom.functions.scalars import business_clock
+    from barloom.operators import history, intraday, opinions
+    from barloom.streaming.streams import late_data_rule
+    rows = [("2024-01-01T16:30:00Z", "00:30"), ("2024-01-01T21:59:00Z", "05:59"), ("2024-01-02T06:45:00Z", "14:45"), ("2024-01-02T07:00:00Z", "15:00"), ("2024-01-02T14:00:00Z", "22:00")]
+    x = spark.createDataFrame(rows, "t string, hm string").withColumn("ts", F.to_timestamp("t"))
+    assert all(r.a == r.hm for r in x.select("hm", F.date_format(business_clock("ts"), "HH:mm").alias("a")).collect())
+    y = x.withColumns({"open": F.lit(True), "prev": F.lit("2023-12-29").cast("date"), "day": F.lit("2024-01-02").cast("date")})
+    got = {r.hm: r for r in y.select(
+        "hm", intraday.tail_window_ok("ts", "finalize").alias("tail"), history.business_date("ts").alias("bd"),
+        history.expected_latest("ts", "open", "prev").cast("string").alias("latest")).collect()}
+    assert [h for h, r in got.items() if r.tail] == ["14:45"]
+    assert str(got["00:30"].bd) == "2024-01-01" and str(got["05:59"].bd) == "2024-01-01" and str(got["14:45"].bd) == "2024-01-02"
+    assert got["14:45"].latest == "2023-12-29" and got["15:00"].latest == "2024-01-02"
+    gate = opinions.finalise_gate(y.select(F.col("day").alias("article_day"), F.col("ts").alias("now"), F.lit(20).alias("n_docs"), "hm"))
+    assert {r.hm for r in gate.collect() if r.release} == {"22:00"}
+    inside, out = late_data_rule(x, "14:32", "14:55")
+    assert inside.count() == 1 and out.count() == 4
+    feed = spark.createDataFrame([(1, '[{"postTime":"1704126600","topicType":"A","newTopicID":"7","subject":"abcdefgh","viewNum":"1"}]')], "page_no int, items string")
+    assert opinions.feed_candidates(feed, "2024-01-02", "u/").count() == 1  # half past midnight there, still the day before by UTC
+
+
+def test_ingest_keeps_first_rows(spark):
+    from barloom.operators.identity import symbol_universe
+    from barloom.sources.ingest import read_pool_text, resolve_header
+    lines = spark.createDataFrame([("1 甲",), ("12345678 z",), ("12345678 a",), ("none",)], "value string").coalesce(1)
+    assert {(r.symbol, r.name) for r in read_pool_text(lines).collect()} == {("000001", "甲"), ("345678", "z")}
+    u = symbol_universe(spark.createDataFrame([("000001", "z"), ("000001", "a")], "`股票代码` string, `证券简称` string").coalesce(1))
+    assert [tuple(r) for r in u.collect()] == [("000001", "z")]
+    assert resolve_header(["x", "Stock_Code", "the code"], ["代码", "stockcode", "code"]) == "Stock_Code" and resolve_header(["x"], ["code"]) is None
+    assert resolve_header(["my code", "code b"], ["code"]) == "my code"
+
+
+def test_best_snapshot_order_and_empty_sources(spark):
+    from barloom.operators.market import best_snapshot
+    d = [("d1", "b", 1.0), ("d1", "a", 1.0), ("d2", "a", None), ("d2", "a", None), ("d2", "b", 2.0), ("d3", "a", None)]
+    x = spark.createDataFrame(d, "trade_date string, source string, pct double")
+    assert {(r.trade_date, r.source) for r in best_snapshot(x, ["a", "b"]).collect()} == {("d1", "a"), ("d2", "b")}
+
+
+def test_sector_strength_ranks_one_figure_per_table(spark):
+    from barloom.operators.sectors import sector_strength
+    x = spark.createDataFrame([("概念", "now", "a", 5.0, 1.0), ("概念", "now", "b", None, 99.0), ("行业", "now", "b", None, 3.0)],
+                              "board_type string, period string, board string, net double, pct double")
+    got = {r.board: list(r.evidence) for r in sector_strength(x).collect()}
+    assert got == {"a": ["概念_now第1/1（净额=5.00）"], "b": ["行业_now第1/1（涨跌幅=3.00）"]}
+
+
+def test_stream_ingest_keeps_late_rows_and_drops_repeats(spark, tmp_path):
+    from barloom.streaming import streams
+    days = [("k1", "2024-03-01"), ("k2", "2024-03-20"), ("k3", "2024-01-01"), ("k1", "2024-03-01"), ("k4", "2024-04-01"), ("k1", "2024-03-01")]
+    for i, r in enumerate(days):
+        spark.createDataFrame([r], "txn_id string, day string").withColumn("ts", F.to_timestamp("day")).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    src = spark.readStream.schema("txn_id string, day string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b*"))
+    assert sorted(r.txn_id for r in spark.read.parquet(streams.stream_ingest(src)).collect()) == ["k1", "k2", "k3", "k4"]
+    latest = streams.run_to_table(src.groupBy("txn_id").count(), "counts", "update", ("txn_id",))
+    assert {r.txn_id: r["count"] for r in spark.read.parquet(latest).collect()} == {"k1": 3, "k2": 1, "k3": 1, "k4": 1}
+
+
+def test_mentioned_boards_of_any_length(spark):
+    from barloom.operators.concepts import mentioned_boards
+    names = ["a", "bc", "long board name " + "x" * 300, "absent", *("n" * i for i in range(3, 300, 7))]
+    texts = ["zz " + names[2] + " bc", "only a here"]
+    got = mentioned_boards(spark.createDataFrame([(n,) for n in names], "board string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.board for r in got.collect()} == {n for n in names if any(n in t for t in texts)}
+
+
+def test_titles_times_and_texts(spark):
+    from barloom.operators.opinions import clean_text, published_at, title_date_ok
+    times = [("x 2024年9月4日 8:05 y", "2024-09-04 08:05"), ("2024/9/4T10:00", "2024-09-04 10:00"), ("24-9-4 10:00", "2024-09-04 10:00"), ("2024-13-4 10:00", None),
+             ("12024-9-4 10:00", None), ("", None), (None, None), ("24/9/4 10:00", None)]
+    got = [r.a for r in spark.createDataFrame(times, "t string, w string").select(F.date_format(published_at("t"), "yyyy-MM-dd HH:mm").alias("a")).collect()]
+    assert got == [w for _, w in times]
+    titles = [("9.4复盘", True), ("2024年9月4日收盘复盘", True), ("9.3复盘", False), ("0904复盘", True), ("0903复盘", False), ("明日策略9.3", True), ("复盘", True), ("9.3复盘 9.4复盘", True)]
+    got = [r.a for r in spark.createDataFrame(titles, "t string, w boolean").select(title_date_ok("t", "2024-09-04").alias("a")).collect()]
+    assert got == [w for _, w in titles]
+    raw = " a\t　 b \r\n\r\n\n\n c\rd  "
+    assert spark.createDataFrame([(raw,), (None,)], "t string").select(clean_text("t").alias("a")).collect()[0].a == "a b \n\n c\nd"
+
+
+def test_shared_folder_is_needed_off_one_machine(spark, monkeypatch):
+    from barloom import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+            getConf = staticmethod(lambda: Fake.conf)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake)

@@ -71,10 +71,10 @@ class Tree:
             work += [(n, rows[near == k]) for k, n in enumerate(c)]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, at most so many."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order, at most so many, but until they hold `least` rows; rows: how many each leaf holds."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, i = heapq.heappop(queue)
             while c := self.children[i]:
                 d = ((self.centres[c] - q) ** 2).sum(1)
@@ -84,6 +84,7 @@ class Tree:
                         heapq.heappush(queue, (float(d[k]), n))
                 i = c[best]
             out.append(int(self.leaf[i]))
+            held += least if rows is None else int(rows[out[-1]])
         return out
 
 
@@ -194,14 +195,21 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.9
     tree, sample = fitted
     indexed = materialise(index(x, tree), "ann-index")
     most = calibrated_visits(indexed, tree, sample[:probes], k, recall)
-    sent = rows.sparkSession.sparkContext.broadcast(tree)
+    held = np.zeros(tree.n_leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row per leaf of the bounded tree
+        held[r["leaf"]] = r["count"]
+    sent = rows.sparkSession.sparkContext.broadcast((tree, held))
+    # So many rows that k are left when those with the query's own id are not counted.
+    own = indexed.groupBy(F.col("vec_id").alias("query_id")).agg((F.count("*") + k).alias("least"))
+    q = q.join(own, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(k)))
 
     @F.pandas_udf("array<int>")
-    def leaves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([sent.value.visits(np.asarray(v, np.float64), most) for v in s])
+    def leaves(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tree, held = sent.value
+        for s, least in batches:
+            yield pd.Series([tree.visits(np.asarray(v, np.float64), most, held, n) for v, n in zip(s, least)])
 
-    visits = materialise(q.withColumn("leaf", F.explode(leaves("v"))), "ann-visits")
+    visits = materialise(q.select("query_id", "v", F.explode(leaves("v", "least")).alias("leaf")), "ann-visits")
     parts = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
     sizes = (indexed.groupBy("leaf").agg(F.count("*").alias("nx")).join(visits.groupBy("leaf").agg(F.count("*").alias("nq")), "leaf")
              .select("leaf", parts(F.col("nx"), block_rows).alias("bx"), parts(F.col("nq"), block_queries).alias("bq")))

@@ -149,10 +149,17 @@ for _t in ("script", "style", "nav", "footer", "form", "noscript"):
 
 @query("extracted_articles", f"""WITH c AS (SELECT page_id, {_CLEAN} AS h FROM pages), x AS (SELECT page_id, {_STRIP.format(_tags("regexp_extract(h, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)"))} AS title,
   {_STRIP.format(_tags("regexp_extract(h, '(?is)<article\\b[^>]*>(.*?)</article>', 1)"))} AS art, {_STRIP.format(_tags('h'))} AS alltext FROM c)
-  SELECT page_id, title, CAST(length(CASE WHEN length(art) >= 600 THEN art ELSE alltext END) AS INT) AS body_chars, CASE WHEN length(art) >= 600 THEN art ELSE alltext END AS body FROM x""")
-def _(spark, sf):
-    p = v.table(spark, sf, "pages")
-    return o.extract_articles(p).select("page_id", "title", "body_chars", "body")
+  SELECT page_id, title, CAST(length(body) AS INT) AS body_chars, body FROM (SELECT page_id, title, CASE WHEN length(art) >= 600 THEN art ELSE alltext END AS body FROM x)
+  UNION ALL SELECT -1 - page_id, title, CAST(length(concat('Anfang', chr(10), alltext)) AS INT), concat('Anfang', chr(10), alltext) FROM x WHERE page_id % 3 = 0 AND length(alltext) >= 600""")
+def _(spark, sf):
+    p = v.table(spark, sf, "pages").select("page_id", "html")
+    # The same pages inside a single-quoted block with nested blocks, on the day asked for, on another day, and under a title of another day.
+    day = F.when(F.col("page_id") % 3 == 0, "2024-09-04 10:00").otherwise("2024-09-03 10:00")
+    old = F.when(F.col("page_id") % 3 == 1, "<h1>9.3复盘</h1>").otherwise("")
+    n = p.select((-1 - F.col("page_id")).alias("page_id"), F.concat(F.lit("<html><head><meta content='"), day, F.lit("' name='pubdate'></head><body>"), old,
+                 F.lit("<div id=a class='x article_content'><div>Anfang</div>"), "html", F.lit("</div></body></html>")).alias("html"))
+    nested = o.extract_articles(n, day="2024-09-04").filter("body_chars >= 607")
+    return o.extract_articles(p).unionByName(nested).select("page_id", "title", "body_chars", "body")
 
 
 CONS = """mm AS (SELECT d.doc_id, b.brand AS sector, CASE (d.doc_id + b.n) % 3 WHEN 0 THEN '退潮' WHEN 1 THEN '加强' ELSE '分歧' END AS stance FROM documents d JOIN (SELECT DISTINCT p_brand AS brand, CAST(substr(p_brand, 7) AS INT) AS n FROM part) b ON (d.doc_id + b.n) % 7 = 0),

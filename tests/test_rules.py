@@ -398,3 +398,16 @@ def test_shared_folder_is_needed_off_one_machine(spark, monkeypatch):
             getConf = staticmethod(lambda: Fake.conf)
     with pytest.raises(RuntimeError):
         session.shared_dir(Fake)
+
+
+def test_articles_with_nested_blocks_and_dates(spark):
+    from barloom.operators.opinions import extract_articles
+    inner = "段落" * 1425
+    page = ("<html><head><title>t</title><meta name=\"date\" content=\"2020-01-01\"><meta content='2024-09-04 18:00' property='article:published_time'></head><body><nav>菜单</nav>"
+            f"<h1>9.4 <b>复盘</b></h1><div class='main-content'><p>一</p><div class=\"x\"><div>{inner}</div></div>尾<br>{inner}</div><script>var a='</div>'</script>关于我们</body></html>")
+    rows = [("a", page), ("b", page.replace("09-04", "09-03")), ("c", page.replace("<h1>9.4", "<h1>9.3")), ("d", None), ("e", "<p>short")]
+    x = spark.createDataFrame(rows, "url string, html string")
+    got = {r.url: r for r in extract_articles(x).collect()}
+    assert got["a"].body == "\n".join(["一", inner, "尾", inner]) and got["a"].title == "9.4 复盘" and str(got["a"].published_at) == "2024-09-04 18:00:00"
+    assert got["d"].body == "" and got["e"].body == "short" and got["e"].published_at is None
+    assert {r.url for r in extract_articles(x, day="2024-09-04").collect()} == {"a"}

@@ -117,11 +117,12 @@ def _(spark, sf):
     return ingest.index_bars(v.bars(spark, sf), {"600004": "I004", "300001": "I001"}, 180)[1]
 
 
-@query("kv_stats", "SELECT CAST(ts AS DATE) AS trade_date, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+@query("kv_stats", """WITH k AS (SELECT CAST(ts AS DATE) AS trade_date, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'view'), 0) AS view FROM events GROUP BY 1)
+  SELECT *, concat_ws(',', CASE WHEN click IS NULL THEN 'click' END, CASE WHEN view IS NULL THEN 'view' END, 'none') AS missing FROM k""")
 def _(spark, sf):
     e = v.table(spark, sf, "events").groupBy(F.to_date("ts").alias("trade_date"), F.col("event_type").alias("item")).agg(
         F.concat(F.format_number(F.count(F.lit(1)), 0), F.lit("%")).alias("value"))
-    return ingest.kv_stats(e, ["click", "view"]).fillna(0)
+    return ingest.kv_stats(e, ["click", "view", "none"]).withColumn("missing", F.array_join("missing", ",")).drop("none")
 
 
 @query("fund_flow_last10", f"WITH {BARS}, {MAST} SELECT symbol, CASE WHEN s_suppkey % 3 = 0 THEN '警告' WHEN s_suppkey % 5 = 0 THEN '失败' ELSE '成功' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 5 = 0 THEN 0 ELSE 10 END AS rows FROM mast")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import norm_code, safe_div, strip_units, to_double
+from barloom.functions.scalars import name_key, norm_code, safe_div, strip_units, to_double
 from barloom.functions.scale import newest_row, top_k
 from barloom.operators.panel import by_symbol
 
@@ -52,19 +53,47 @@ def rename_by_alias(df: DataFrame, aliases: dict[str, list[str]], keep_extra: bo
     return df.select(*cols, *extra)
 
 
-def read_pool_files(spark: SparkSession, paths: list[str], encodings=("UTF-8", "GB18030", "UTF-16")) -> DataFrame:
-    """Delimited symbol lists. Encoding and separator are taken from the header line of the file group."""
-    for enc in encodings:
-        head = spark.read.option("encoding", enc).option("header", "false").option("sep", "\x01").csv(paths).limit(1).collect()
-        line = (head[0][0] if head and head[0][0] else "").lstrip("﻿")
-        for sep in sorted(SEPARATORS, key=line.count, reverse=True):
-            cols = line.split(sep)
-            if resolve_header(cols, CODE_NAMES) or resolve_header(cols, NAME_NAMES):
-                df = spark.read.csv(paths, sep=sep, header=True, encoding=enc)
-                df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-                z = rename_by_alias(df, {"symbol": CODE_NAMES, "name": NAME_NAMES})
-                return z.select(norm_code("symbol").alias("symbol"), F.trim("name").alias("name"))
-    raise ValueError("no code or name header found")
+def decoded_file(raw: bytes) -> str:
+    """Text of a whole file: UTF-16 by its byte-order mark, else UTF-8 if all of it is valid, else GB18030."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return raw.decode("utf-16")
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("gb18030")
+
+
+def read_pool_files(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> DataFrame:
+    """Delimited symbol lists, each file in its own encoding, separator and header: the given files' first lines are looked at, the rest is read by groups of
+    like files. A row without a code takes the code of its name, if `names` (symbol, name) has that name once. Rows without a valid code go; of a code's rows
+    the first stays."""
+    @F.pandas_udf("string")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(decoded_file)
+
+    files = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path", F.split(decoded("content"), "\r?\n").alias("lines"))
+    shapes: dict[str, tuple] = {}
+    for line in {r["line"] for r in files.select(F.get("lines", F.lit(0)).alias("line")).collect()}:
+        fits = [p for p in sorted(SEPARATORS, key=line.count, reverse=True)
+                if resolve_header(line.split(p), CODE_NAMES) or resolve_header(line.split(p), NAME_NAMES)]
+        if not fits:
+            raise ValueError(f"no code or name header in {line[:200]!r}")
+        shapes[line] = fits[0]
+    out = None
+    for line, sep in sorted(shapes.items()):
+        columns = [c.strip('"') for c in line.split(sep)]
+        rows = files.filter(F.get("lines", F.lit(0)) == line).select("path", F.posexplode("lines").alias("at", "line")).filter("at > 0 and trim(line) <> ''")
+        fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(columns)))), {"sep": sep})
+        df = rows.select(F.struct("path", "at").alias("_at"), fields.alias("f")).select("f.*", "_at").toDF(*columns, "_at")
+        z = rename_by_alias(df, {"symbol": CODE_NAMES, "name": NAME_NAMES, "_at": ["_at"]})
+        z = z.select(norm_code("symbol").alias("symbol"), F.trim("name").alias("name"), "_at")
+        out = z if out is None else out.unionByName(z)
+    if out is None:
+        return spark.createDataFrame([], "symbol string, name string")
+    if names is not None:
+        known = names.groupBy(name_key("name").alias("_n")).agg(F.min("symbol").alias("_s"), F.countDistinct("symbol").alias("_c")).filter("_c = 1")
+        out = out.withColumn("_n", name_key("name")).join(known, "_n", "left").withColumn("symbol", F.coalesce(F.nullif("symbol", F.lit("")), "_s"))
+    return out.filter(F.col("symbol").rlike("^[0-9]{6}$")).groupBy("symbol").agg(F.min_by("name", "_at").alias("name"))
 
 
 def read_pool_text(lines: DataFrame, order: str | None = None) -> DataFrame:
@@ -149,9 +178,10 @@ def index_bars(df: DataFrame, names: dict[str, str], days: int) -> tuple[DataFra
 
 
 def kv_stats(df: DataFrame, keys: list[str], by=("trade_date",)) -> DataFrame:
-    """item/value rows to one column per required key, as rounded counts."""
+    """item/value rows to one column per required key, as rounded counts, and `missing`: the required keys without a value."""
     x = df.withColumn("_v", F.round(strip_units("value")).cast("long"))
-    return x.groupBy(*by).pivot("item", keys).agg(F.max("_v"))
+    out = x.groupBy(*by).pivot("item", keys).agg(F.max("_v"))
+    return out.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(f"`{k}`").isNull(), F.lit(k)) for k in keys])))
 
 
 def fund_flow_last10(flow: DataFrame, rank10: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -411,3 +411,14 @@ def test_articles_with_nested_blocks_and_dates(spark):
     assert got["a"].body == "\n".join(["一", inner, "尾", inner]) and got["a"].title == "9.4 复盘" and str(got["a"].published_at) == "2024-09-04 18:00:00"
     assert got["d"].body == "" and got["e"].body == "short" and got["e"].published_at is None
     assert {r.url for r in extract_articles(x, day="2024-09-04").collect()} == {"a"}
+
+
+def test_pool_files_of_all_kinds(spark, tmp_path):
+    from barloom.sources.ingest import read_pool_files
+    texts = {"a.csv": ("code,证券简称\n000001,平安\n000001,again\nbad,x\n", "gb18030"), "b.txt": ("股票代码\t股票名称\n600000.0\t浦发\n", "utf-8-sig"),
+             "c.csv": ("名称;x\n万 科Ａ;1\n无此名;2\n", "utf-8"), "d.csv": ("Stock_Code|stockname\n300001|特锐德\n", "utf-16")}
+    for n, (t, enc) in texts.items():
+        (tmp_path / n).write_bytes(t.encode(enc))
+    names = spark.createDataFrame([("000002", "万科A"), ("1", "two"), ("2", "two")], "symbol string, name string")
+    got = {r.symbol: r.name for r in read_pool_files(spark, [str(tmp_path)], names).collect()}
+    assert got == {"000001": "平安", "600000": "浦发", "000002": "万 科Ａ", "300001": "特锐德"}

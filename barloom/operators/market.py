@@ -102,16 +102,8 @@ def market_context(history: DataFrame, spans=(5, 20, 60), columns=CONTEXT_COLUMN
     return x.drop("_prev", *[f"_l{n}" for n in spans], *[f"_a{n}" for n in spans])
 
 
-def sentiment_components(breadth: DataFrame, sep: str = r"\|") -> DataFrame:
-    """Long (trade_date, component, symbol) rows from packed code lists codes_<kind>."""
-    arr = F.array(*[F.struct(F.lit(label).alias("component"), F.col(f"codes_{k}").alias("codes")) for k, label in POOL_KINDS.items()])
-    z = breadth.select("trade_date", F.explode(arr).alias("a"))
-    z = z.select("trade_date", "a.component", F.explode(F.split("a.codes", sep)).alias("symbol"))
-    return z.filter(F.trim("symbol") != "").distinct()
-
-
 def pool_components(pools: DataFrame) -> DataFrame:
-    """The same long rows straight from the pools, without packing."""
+    """Long (trade_date, component, symbol) rows of the limit pools."""
     label = F.create_map(*[F.lit(x) for kv in POOL_KINDS.items() for x in kv])
     return pools.select("trade_date", label[F.col("kind")].alias("component"), "symbol").distinct()
 

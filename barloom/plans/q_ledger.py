@@ -378,6 +378,15 @@ def _(spark, sf):
     return trades.outcome_diagnostics(trades.enrich(v.trades(spark, sf), v.bars(spark, sf)))
 
 
+@query("trades_loaded", """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN DATE '2024-01-31' END AS open_date, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS pnl FROM customer WHERE c_custkey % 5 > 0""")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    raw = v.table(spark, sf, "customer").select(
+        "c_custkey", F.when(k % 5 > 0, "a").alias("account"), F.when(k % 3 == 0, "2024-02-31").otherwise("2024-01-31").alias("open_date"),
+        F.lit("").alias("close_date"), F.when(k % 4 == 0, "--").otherwise(F.col("c_acctbal").cast("string")).alias("pnl"))
+    return trades.load_trades(raw).filter("close_date is null").select("c_custkey", "open_date", "pnl")
+
+
 @query("trades_with_codes", """WITH m AS (SELECT replace(replace(replace(trim(n_name),' ',''),'-U',''),'A','Ａ') AS k, lpad(CAST(max(n_nationkey) AS VARCHAR),6,'0') AS symbol FROM nation GROUP BY 1)
   SELECT c_custkey, symbol, CASE WHEN symbol IS NOT NULL THEN '当前名称/规范别名匹配' ELSE '未匹配' END AS match_status FROM
   (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE n_name END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey) t

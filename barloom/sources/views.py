@@ -111,14 +111,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (100 + F.col("event_id") % 50).alias("volume"))
 
 
-def user_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks with the user as symbol: many symbols, one price path each."""
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").cast("string").alias("symbol"), "ts", "event_id",
-                    F.round(10 + F.col("value") / 100, 4).alias("price"),
-                    (100 + F.col("event_id") % 50).alias("volume"))
-
-
 def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute bars from ticks, combined map-side."""
     t = ticks(spark, sf_dir)
@@ -130,19 +122,15 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("trade_date", F.to_date("ts")))
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return (e.groupBy(F.col("user_id").alias("symbol"), F.col("ts").cast("date").alias("trade_date"))
-            .agg(F.max_by("value", "event_id").alias("price"), F.sum("value").alias("amount")))
-
-
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards of a symbol: part brands as concepts, part types of first lines as industries."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    # Lines shrink to distinct (part, supplier) pairs before the join.
+    li = (table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey")
+          .agg(F.max((F.col("l_linenumber") == 1).cast("int")).alias("first_line")))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     j = li.join(p, li.l_partkey == p.p_partkey)
     both = F.array(F.struct(F.lit("概念").alias("board_type"), F.col("p_brand").alias("board")),
-                   F.when(F.col("l_linenumber") == 1,
+                   F.when(F.col("first_line") == 1,
                           F.struct(F.lit("行业").alias("board_type"), F.col("p_type").alias("board"))))
     return (j.select("l_suppkey", F.explode(F.array_compact(both)).alias("b"))
             .select(symbol_of("l_suppkey").alias("symbol"), "b.board_type", "b.board").distinct())

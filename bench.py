@@ -15,7 +15,7 @@ from barloom.session import local_session  # noqa: E402
 HEADLINE = ["feature_returns", "feature_slopes", "limit_up_evidence", "breakout_stage", "stage1_audit", "stage2_audit", "screening_funnel",
             "trade_cycles", "positions", "active_lots", "exit_intraday", "evaluate_recommendations", "actual_outcomes", "trades_enriched",
             "trade_outcome_medians", "entry_gate", "breadth_row", "market_context", "sector_strength", "attribution", "resonance",
-            "rolling_pool", "closed_day_outcomes", "document_quality", "extracted_articles"]
+            "rolling_pool", "closed_day_outcomes", "document_quality", "extracted_articles", "weekly_feedback_summary"]
 
 
 def main() -> None:

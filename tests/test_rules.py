@@ -422,3 +422,12 @@ def test_pool_files_of_all_kinds(spark, tmp_path):
     names = spark.createDataFrame([("000002", "万科A"), ("1", "two"), ("2", "two")], "symbol string, name string")
     got = {r.symbol: r.name for r in read_pool_files(spark, [str(tmp_path)], names).collect()}
     assert got == {"000001": "平安", "600000": "浦发", "000002": "万 科Ａ", "300001": "特锐德"}
+
+
+def test_coverage_gate_stops_the_job(spark):
+    from barloom.sources.ingest import assert_coverage
+    rows = [("成功",)] * 8 + [("失败",)] * 2
+    audit = spark.createDataFrame(rows, "status string")
+    assert_coverage(audit, floor=5)
+    with pytest.raises(RuntimeError):
+        assert_coverage(audit, share=0.9, floor=5)

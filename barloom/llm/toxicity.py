@@ -109,16 +109,18 @@ def train(docs: DataFrame, labels: DataFrame, models: int = 3, max_positive: int
 
     Returns weights by feature and the bias, or None without positives. What comes to the driver is bounded by max_features * models."""
     lab = only(labels, doc_id="doc_id", toxic="toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = only(docs, doc_id="doc_id", text="text").join(lab, "doc_id", "left")
-    s = d.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("p"), F.count(F.when(F.col("toxic").isNotNull(), 1)).alias("l"), F.count("*").alias("n")).first()
-    if not s["p"] or s["p"] == s["n"]:
+    d = only(docs, doc_id="doc_id", text="text")
+    s = lab.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("p"), F.count("*").alias("l")).first().asDict() | {"n": d.count()}
+    if not s["p"] or not s["n"]:
         return None
     prior = min(0.5, max(1e-3, s["p"] / s["l"]))
-    h = F.xxhash64(F.lit("nnpu"), "doc_id", F.xxhash64("text"))
     share = lambda k, of: F.lit(int(min(1.0, k / of) * (1 << 30)))
-    draw = F.pmod(h, F.lit(1 << 30))
-    p = d.filter((F.col("toxic") == 1) & (draw < share(max_positive, s["p"]))).select("text", F.lit(True).alias("positive"), h.alias("h"))
-    u = d.filter(draw < share(max_unlabelled, s["n"])).select("text", F.lit(False).alias("positive"), h.alias("h"))
+    draw = lambda *c: F.pmod(F.xxhash64(F.lit("nnpu"), *c), F.lit(1 << 30))
+    h = F.xxhash64(F.lit("nnpu"), "doc_id", F.xxhash64("text"))
+    # The drawn ids are about max_positive at most, so texts stay where they are.
+    toxic = lab.filter((F.col("toxic") == 1) & (draw("doc_id") < share(max_positive, s["p"]))).select("doc_id")
+    p = d.join(F.broadcast(toxic), "doc_id").select("text", F.lit(True).alias("positive"), h.alias("h"))
+    u = d.filter(draw("doc_id", F.xxhash64("text")) < share(max_unlabelled, s["n"])).select("text", F.lit(False).alias("positive"), h.alias("h"))
     # Few positives go to every model, many are dealt out.
     every = F.array(*[F.lit(i) for i in range(models)])
     own = F.array(F.pmod(F.shiftright("h", 32), F.lit(models)).cast("int"))

@@ -82,8 +82,10 @@ def fingerprints_of_edits(docs: DataFrame) -> DataFrame:
     reps = order.select(F.col("k").alias("to_k"), F.col("next_k").alias("k"), "need")
     rep_of = order.select("k", "rep")
     # k is a key of order and next_k one of the same size, so the built sides hold one row per document of a partition.
-    head = (texts.join(reps.join(rep_of, "k").hint("shuffle_hash"), "k").filter(F.col("th") == F.col("rep"))
-            .groupBy("to_k").agg(F.min(F.expr("substring(text, 1, cast(need as int))")).alias("head")))
+    # The row that stands for its place is told inside the aggregate: as a filter it would become a join key, and texts would be
+    # shuffled once more under other keys.
+    head = (texts.join(reps.join(rep_of, "k").hint("shuffle_hash"), "k")
+            .groupBy("to_k").agg(F.min(F.when(F.col("th") == F.col("rep"), F.expr("substring(text, 1, cast(need as int))"))).alias("head")))
     n, cut = F.length("text").cast("long"), F.floor(F.length("text") / 4)
     both = (texts.join(head.select(F.col("to_k").alias("k"), "head").hint("shuffle_hash"), "k")
             .withColumn("n", n)

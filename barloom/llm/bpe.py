@@ -34,7 +34,7 @@ END = 0x4000
 class Backtracking:
     """Encoder and decoder for one vocabulary file with byte-level BPE and a word-end mark."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

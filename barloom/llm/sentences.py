@@ -29,7 +29,7 @@ from barloom.llm.common import only
 SENTENCE_END = re.compile(r"(?<=\n)(?=[^\n])|(?<=[.!?]\s)(?=\S)")
 NO_ID = -(1 << 63)
 #: Runs that are compared inside a batch before the shuffle.
-BATCH_RUNS = 400_000
+BATCH_RUNS = 150_000
 
 
 def split_sentences(text: str) -> list[str]:

@@ -117,22 +117,24 @@ def _scalar(one: DataFrame) -> Column:
 
 def _slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     """Slots of all shards: the draw of each shard, settled to the sources' quotas in a closing shard."""
-    spark = sources.sparkSession
+    # Rows multiply behind these exchanges, so their number of partitions is stated; and sizes guessed from the few
+    # sources must not lead to a broadcast of slots, so joins with slots are merges.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cum = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = F.floor(F.sum("quota").over(cum) * F.lit(DRAW) / F.greatest(F.sum("quota").over(Window.partitionBy(F.lit(1))), F.lit(1)))
     faces = (sources.select("sid", edge.alias("to"))
              .withColumn("from", F.coalesce(F.lag("to").over(Window.orderBy("sid")), F.lit(0)))
              .filter(F.col("to") > F.col("from"))
-             .select("sid", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("face")))
+             .select("sid", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("face")))  # DRAW rows, whatever the input
     total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("total"))
     # One row per shard first; its draws are made where the shard's row is.
     shards = total.filter("total > 0").select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_slots))).alias("shard"))
     size = F.least(F.lit(shard_slots).cast("long"), F.col("total") - F.col("shard") * shard_slots)
-    throws = (shards.repartition(spark.sparkContext.defaultParallelism, "shard")
+    throws = (shards.repartition(tasks, "shard")
               .select("shard", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("slot"))
               .select("shard", F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(DRAW)).alias("face"))
               .groupBy("shard", "face").count())
-    counts = throws.join(faces, "face").groupBy("sid", "shard").agg(F.sum("count").alias("n"))
+    counts = throws.join(F.broadcast(faces), "face").groupBy("sid", "shard").agg(F.sum("count").alias("n"))
     run = Window.partitionBy("sid").orderBy("shard")
     drawn = counts.select("sid", "shard", "n", (F.sum("n").over(run) - F.col("n")).alias("start"))
     held = sources.filter("quota > 0").select("sid", "n_blocks", "quota")
@@ -141,7 +143,7 @@ def _slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
     closing = (held.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < quota")
                .select("sid", F.lit(-1).cast("long").alias("shard"), "n_blocks", F.col("got").alias("start"), F.col("quota").alias("end")))
-    ranks = (kept.unionByName(closing)
+    ranks = (kept.unionByName(closing).repartition(tasks, "sid", "shard")
              .withColumn("rank", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
              .select("shard", "sid", "n_blocks", F.floor(F.col("rank") / F.col("n_blocks")).alias("copy"),
                      (F.col("rank") % F.col("n_blocks")).alias("index")))
@@ -153,7 +155,7 @@ def words_taken(m: Mixture) -> DataFrame:
     times = m.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     words = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
     # An empty document shares its offset with the next one: h tells them apart, and a count keeps equal empty rows.
-    per = (m.pieces().join(times, ["sid", "block"], "left")
+    per = (m.pieces().join(times.hint("merge"), ["sid", "block"], "left")
            .groupBy("sid", "offset", "size", "h").agg(F.first("doc_id").alias("doc_id"), F.sum(words).alias("taken"),
                                                       F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("copies")))
     return (per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("copies"), F.lit(1)))))
@@ -164,13 +166,13 @@ def words_taken(m: Mixture) -> DataFrame:
 def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:
     """Documents of the mix, in the columns of `docs`: a row for each document and pass that takes some of its words,
     with the taken words as text and n_chars counted anew. Rows equal in doc_id and text share their other columns."""
-    key = F.xxhash64("doc_id", "text")
-    ranges = (m.pieces().join(m.slots, ["sid", "block"])
-              .groupBy("h", "sid", "offset", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
-    texts = docs.withColumn("h", key).dropDuplicates(["h"])
+    ranges = (m.pieces().join(m.slots.hint("merge"), ["sid", "block"])
+              .groupBy(F.col("h").alias("__h"), "sid", "offset", "copy").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__ranges"))
+              .select("__h", "__ranges"))
+    texts = docs.withColumn("__h", F.xxhash64("doc_id", "text")).dropDuplicates(["__h"])
     words = F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0))
-    cut = F.transform("ranges", lambda r: F.array_join(F.slice(F.col("words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""))
-    out = (texts.join(ranges, "h").withColumn("words", words).withColumn("text", F.array_join(cut, "")))
+    cut = F.transform("__ranges", lambda r: F.array_join(F.slice(F.col("__words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""))
+    out = texts.join(ranges, "__h").withColumn("__words", words).withColumn("text", F.array_join(cut, ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -159,6 +159,17 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return materialise(q.select("a", "b"), "near-links")
 
 
+def _next_in_order(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of neighbours of one key, rows (key, n, a) being in order. All keys are put in order together and dealt out by range, so that a key with many
+    rows is many ranges; a range's last row meets the first of the next range."""
+    dealt = materialise(rows.repartitionByRange("key", "n", "a").withColumn("part", F.spark_partition_id()), "near-order")
+    least = dealt.groupBy("part").agg(F.min(F.struct("key", "n", "a")).alias("x"))
+    follow = least.select("part", F.lead("x").over(Window.orderBy("part")).alias("y"))
+    inside = Window.partitionBy("part").orderBy("key", "n", "a")
+    after = F.coalesce(F.lead(F.struct("key", "n", "a")).over(inside), F.col("y"))
+    return dealt.join(follow, "part").withColumn("after", after).filter(F.col("after.key") == F.col("key")).select("a", F.col("after.a").alias("b"))
+
+
 def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int = 32, order: int = 2, rounds: int = 2) -> DataFrame:
     """docs: doc_id, text. doc, th, root (least node of the group), group_id, group_size, first: a row per row of docs. doc is
     doc_id with NO_ID for null, th the text's hash."""
@@ -182,15 +193,22 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int =
     others = rooted(rooted(apart.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "a", roots), "b", roots)
     # One pair between two components and a centre is enough to join them, but the other pairs may be needed if it fails: keep all that are still apart.
     tried = others.filter("root_a <> root_b").join(one, ["a", "b"], "left_anti")
-    links = links.union(_aligned(tried, texts, similarity))
-    for _ in range(rounds):
+    def with_more(pairs: DataFrame) -> bool:
+        """Align pairs; take up their links and the components that come of them, if there are any."""
+        nonlocal links, roots
+        more = _aligned(pairs, texts, similarity)
+        if not more.limit(1).count():
+            return False
+        links = links.union(more)
         roots = components(links)
+        return True
+
+    with_more(tried)
+    for _ in range(rounds):
         here = (rooted(met.select("key", F.col("node").alias("a"), "n"), "a", roots)
-                .groupBy("key", "root_a").agg(F.min(F.struct("n", "a")).alias("x")).select("key", "root_a", "x.n", "x.a"))
-        by_length = Window.partitionBy("key").orderBy("n", "a")
-        then = here.select("a", "root_a", F.lead("a").over(by_length).alias("b")).filter("b is not null").select("a", "b").distinct()
-        links = links.union(_aligned(then, texts, similarity))
-    roots = components(links)
+                .groupBy("key", "root_a").agg(F.min(F.struct("n", "a")).alias("x")).select("key", "x.n", "x.a"))
+        if not with_more(_next_in_order(here).distinct()):
+            break
     rooted_rows = materialise(rooted(rows.select("doc", "th", F.col("node").alias("a")), "a", roots).select("doc", "th", F.col("root_a").alias("root")), "near-rooted")
     of = materialise(rooted_rows.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("least"), F.count("*").alias("group_size")), "near-groups")
     return (rooted_rows.join(of, "root")

@@ -38,7 +38,7 @@ SHARD = ("part int, shard int, n_ids long, base long, docs binary, lengths binar
 class WordEncoder:
     """The tokenizers library's ids, with the ids of each piece between splits asked for once."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -58,11 +58,12 @@ class WordEncoder:
                 yield [array("I", [self.special[part]]).tobytes()]
                 continue
             pieces = byte_pieces(part)
-            new = [p for p in set(pieces) if p not in known]
+            new = [p for p in pieces if p not in known]
             if new:
                 if len(known) + len(new) > self.memo:
                     known.clear()
-                    new = list(set(pieces))
+                    new = pieces
+                new = list(set(new))
                 known.update(zip(new, (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
             yield map(known.__getitem__, pieces)
 
@@ -77,38 +78,46 @@ def loaded(path: str) -> WordEncoder:
     return _LOADED[path]
 
 
-def _frequent(keys: np.ndarray, least: int, factor: int, room: int) -> np.ndarray:
-    """Sorted keys that come up at least `least` times and within `factor` of the most frequent, the `room` first by count."""
-    bucket = ((keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(44)) & np.int64(0x7FFFF)
-    heavy = np.bincount(bucket, minlength=1 << 19) >= least
+BUCKETS = 1 << 19
+
+
+def _frequent(keys: np.ndarray, bucket: np.ndarray, least: int, factor: int, room: int) -> np.ndarray:
+    """Keys that come up at least `least` times and within `factor` of the most frequent, the `room` first by count, one for each bucket; a key
+    that gives way to another of its bucket has its turn in a later round."""
+    heavy = np.bincount(bucket, minlength=BUCKETS) >= least
     some, n = np.unique(keys[heavy[bucket]], return_counts=True)
     if not len(some) or n.max() < least:
         return some[:0]
     held = np.flatnonzero(n >= max(least, n.max() // factor))
-    if len(held) > room:
-        held = held[np.lexsort((some[held], -n[held]))[:room]]
-    return np.sort(some[held])
+    held = held[np.lexsort((some[held], -n[held]))]
+    _, first = np.unique(_bucket(some[held]), return_index=True)
+    return some[held[np.sort(first)[:room]]]
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(44)) & np.int64(BUCKETS - 1)
 
 
 def compress(ids: np.ndarray, base: int, least: int = 8, factor: int = 16, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols; rule r makes symbol base + r), ids that each stands for, and the symbols that remain."""
     seq, rules, spans = ids.astype(np.int64), np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    slot = np.full(BUCKETS, -1, np.int32)
     for _ in range(rounds):
         room = (1 << 16) - base - len(rules)
         if len(seq) < 2 or room <= 0:
             break
         keys = seq[:-1] << 32 | seq[1:]
-        chosen = _frequent(keys, least, factor, room)
+        bucket = _bucket(keys)
+        chosen = _frequent(keys, bucket, least, factor, room)
         if not len(chosen):
             break
-        # A symbol that starts no chosen pair is out at once, which spares most of the search.
-        begins = np.zeros(base + len(rules), bool)
-        begins[chosen >> 32] = True
-        near = np.flatnonzero(begins[seq[:-1]])
-        place = np.searchsorted(chosen, keys[near])
-        place[place == len(chosen)] = 0
-        hit = chosen[place] == keys[near]
-        at, rule = near[hit], place[hit]
+        mine = _bucket(chosen)
+        slot[mine] = np.arange(len(chosen))
+        place = slot[bucket]
+        slot[mine] = -1
+        at = np.flatnonzero(place >= 0)
+        at = at[chosen[place[at]] == keys[at]]
+        rule = place[at]
         # In a run of overlapping occurrences every second one, from the left, is replaced.
         start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         within = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))

@@ -161,15 +161,22 @@ class Shard:
         self.docs, lengths = np.frombuffer(row.docs, "<i8"), np.frombuffer(row.lengths, "<i8")
         kind = "<u2" if self.base + len(self.rules) <= 1 << 16 else "<u4"
         self.seq = np.frombuffer(row.symbols, kind)
-        spans = np.concatenate([np.ones(self.base, np.int64), np.frombuffer(row.spans, "<i8")])
-        self.edge = np.concatenate([[0], np.cumsum(spans[self.seq])])
+        own = np.frombuffer(row.spans, "<i8")
+        self.spans = np.concatenate([np.ones(self.base, np.int64), own])
+        self.edge = np.concatenate([[0], np.cumsum(self.spans[self.seq])])
+        # Every rule written out, one behind the other, with an id itself as its own text before them.
+        self.text = np.concatenate([np.arange(self.base), expand(np.arange(self.base, self.base + len(own)), self.rules, self.base)])
+        self.begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(own) - own])
         self.start = np.concatenate([[0], np.cumsum(lengths)])
 
     def ids(self, i: int, j: int | None = None) -> np.ndarray:
         """Ids of documents i to j - 1 of the shard, expanding only the symbols that cover them."""
         lo, hi = self.start[i], self.start[i + 1 if j is None else j]
         a, b = np.searchsorted(self.edge, lo, "right") - 1, np.searchsorted(self.edge, hi, "left")
-        return expand(self.seq[a:b], self.rules, self.base)[lo - self.edge[a]:hi - self.edge[a]]
+        symbols, at = self.seq[a:b], self.edge[a:b] - self.edge[a]
+        size = self.spans[symbols]
+        out = self.text[np.repeat(self.begin[symbols] - at, size) + np.arange(self.edge[b] - self.edge[a])]
+        return out[lo - self.edge[a]:hi - self.edge[a]]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, shard_ids: int = 1 << 18, end_id: int = 0) -> None:

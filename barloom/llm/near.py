@@ -8,7 +8,10 @@ distance is taken by bit-parallel alignment within the band that the limit allow
 
 Inside a sketch's bucket no pairs are listed. Each node is aligned with the bucket's smallest node first; pairs that earlier links already join are
 skipped. In `rounds` further rounds, the components that still meet in a bucket are put in order of length, and neighbours are aligned. A third of all
-rows in one group of copies thus costs a pair or a few per node. Two similar texts share many buckets, and each is another chance, also through third texts.
+rows in one group of copies thus costs a pair or a few per node. What buckets still hold several components is then followed up without loss: texts within
+the limit of e edits share all but e of the longer one's labelled words, so under any common order of words they share one of their first e + 1. With
+the rarest words first, nodes of a bucket that share such a word are its sub-bucket, and there all pairs between components are aligned. Every two texts
+that share a sketch and are similar thus end in one group.
 
 Defined results: null, empty and blank texts are one class. A text of fewer than k words is one run. A null doc_id comes first. Rows equal in all columns are one
 document of the same group. The group's id is its smallest doc_id.
@@ -29,6 +32,8 @@ from barloom.llm.components import components
 
 NO_ID = -(1 << 63)
 MEMO = 400_000
+#: Slots in which words are counted to tell rare from common ones. Words that share a slot only count as more common.
+SLOTS = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -120,17 +125,75 @@ def similar(a: str | None, b: str | None, similarity: float) -> bool:
     return abs(len(x) - len(y)) <= most and distance_within(x, y, most) is not None
 
 
-def sketched(docs: DataFrame, k: int, m: int, order: int) -> DataFrame:
-    """doc, th, node (a digest of the words), n (words) and sk (sketches) per row of docs: doc, th, text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
-
-        def hashed(w: str) -> int:
+def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; memo keeps up to MEMO of them."""
+    out = []
+    for w in words:
+        v = memo.get(w)
+        if v is None:
             if len(memo) >= MEMO:
                 memo.clear()
             memo[w] = v = xxhash.xxh3_64_intdigest(w)
-            return v
+        out.append(v)
+    return np.array(out, np.uint64)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def rarest(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a text's labelled words the rarest, as many as two similar texts can't both have apart, without those that no other text has."""
+    c = counts[_slots(h)]
+    first = np.lexsort((h, c))[:int((1 - similarity) * len(h) + 1e-9) + 1]
+    return h[first[c[first] > 1]]
+
+
+def _rare_words(texts: DataFrame, similarity: float) -> DataFrame:
+    """node and rare (its rarest labelled words) of texts: node, text. A table of SLOTS counts comes to the driver."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, memo = np.zeros(SLOTS, np.int64), {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                np.add.at(total, _slots(run_hashes(word_hashes(words_of(text), memo), 1)), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
 
+    held = texts.select("text").mapInPandas(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[held["slot"].to_numpy()] = held["c"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "rare": [rarest(run_hashes(word_hashes(words_of(t), memo), 1), sent.value, similarity).view(np.int64)
+                                                              for t in pdf["text"]]})
+
+    return texts.select("node", "text").mapInPandas(rare, "node binary, rare array<long>")
+
+
+def _apart(here: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a bucket, lie in different components and may be similar by length and rarest words. here: key, a, n, root_a."""
+    several = here.groupBy("key").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi")).filter("lo <> hi").select("key")
+    left = materialise(here.join(several, "key"), "near-left")
+    wanted = left.select(F.col("a").alias("node")).distinct()
+    rare = materialise(_rare_words(texts.join(wanted, "node", "left_semi"), similarity), "near-rare")
+    sub = (left.join(rare, left["a"] == rare["node"]).select("a", "n", "root_a", "key", F.explode("rare").alias("word"))
+           .select(F.xxhash64("key", "word").alias("sub"), "a", "n", "root_a"))
+    dealt = materialise(sub, "near-sub")
+    met = dealt.groupBy("sub").agg(F.min("root_a").alias("lo"), F.max("root_a").alias("hi")).filter("lo <> hi").select("sub")
+    x = materialise(dealt.join(met, "sub", "left_semi"), "near-submet")
+    y = x.select("sub", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root_a").alias("root_b"))
+    long, short = F.greatest("n", "m"), F.least("n", "m")
+    return (x.join(y, "sub").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (long - short <= F.floor((1 - similarity) * long + 1e-9)))
+            .select("a", "b").distinct())
+
+
+def sketched(docs: DataFrame, k: int, m: int, order: int) -> DataFrame:
+    """doc, th, node (a digest of the words), n (words) and sk (sketches) per row of docs: doc, th, text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
@@ -139,8 +202,8 @@ def sketched(docs: DataFrame, k: int, m: int, order: int) -> DataFrame:
                 if not words:
                     rows.append((node, 0, None))
                     continue
-                h = np.array([v if (v := memo.get(w)) is not None else hashed(w) for w in words], np.uint64)
-                rows.append((node, len(words), sketches_of(run_hashes(h, k), m, order).view(np.int64)))
+                h = run_hashes(word_hashes(words, memo), k)
+                rows.append((node, len(words), sketches_of(h, m, order).view(np.int64)))
             yield pd.DataFrame({"doc": pdf["doc"], "th": pdf["th"], "node": [r[0] for r in rows], "n": [r[1] for r in rows], "sk": [r[2] for r in rows]})
 
     return docs.select("doc", "th", "text").mapInPandas(run, "doc long, th long, node binary, n int, sk array<long>")
@@ -209,6 +272,8 @@ def groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, sketches: int =
                 .groupBy("key", "root_a").agg(F.min(F.struct("n", "a")).alias("x")).select("key", "x.n", "x.a"))
         if not with_more(_next_in_order(here).distinct()):
             break
+    # All that is still apart in a bucket; no pair of it is left out, so this needs no further round.
+    with_more(_apart(rooted(met.select("key", F.col("node").alias("a"), "n"), "a", roots), texts, similarity))
     rooted_rows = materialise(rooted(rows.select("doc", "th", F.col("node").alias("a")), "a", roots).select("doc", "th", F.col("root_a").alias("root")), "near-rooted")
     of = materialise(rooted_rows.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("least"), F.count("*").alias("group_size")), "near-groups")
     return (rooted_rows.join(of, "root")

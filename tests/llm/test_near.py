@@ -69,6 +69,31 @@ def test_a_large_group_of_copies_and_near_copies(spark):
     assert all(got[i] == i for i in range(400, 700))  # they share a passage and no more
 
 
+def test_near_copies_among_many_texts_that_share_a_passage(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(78)]
+    own = lambda: [f"u{rng.randint(0, 10 ** 9)}" for _ in range(22)]
+    rows = [(i, " ".join(passage + own())) for i in range(400)]
+    for i in range(400, 440, 2):
+        a = own()
+        rows += [(i, " ".join(passage + a)), (i + 1, " ".join(passage + [w if j % 2 else f"z{i}-{j}" for j, w in enumerate(a)]))]
+    got = {r.doc: r.group_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: i - i % 2 if i >= 400 else i for i in range(440)}  # pairs share no run outside the passage
+
+
+def test_similar_texts_share_a_rarest_word():
+    rng = random.Random(6)
+    for _ in range(2000):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 25))]
+        b = [x if rng.random() < .9 else rng.choice("abcdefghij") for x in a if rng.random() < .95]
+        h = [near.run_hashes(near.word_hashes(w, {}), 1) for w in (a, b) if w]
+        counts = near.np.zeros(near.SLOTS, near.np.int64)
+        for x in h:
+            near.np.add.at(counts, near._slots(x), 1)
+        if b and near.similar(" ".join(a), " ".join(b), 0.8):
+            assert set(near.rarest(h[0], counts, 0.8)) & set(near.rarest(h[1], counts, 0.8))
+
+
 def test_odd_rows(spark, odd, empty):
     got = near.groups(odd).collect()
     assert len(got) == odd.count()

@@ -1,9 +1,14 @@
 """Substring deduplication by sliding runs of sentences.
 
-A text is cut into sentences behind line ends and behind . ! ? with white space after them; the white space stays with its sentence, so the pieces
-join to the whole text again. From every sentence the shortest run forward, and the shortest run backward, that is long enough is hashed: at least
+A text is cut into sentences behind line ends and behind . ! ? with closing quotes or brackets, if any, and white space after them. Sentences of more than
+CUT_WORDS words are cut further, by content: of every CUT_WORDS neighbouring words of a sentence the one with the smallest hash begins a piece
+(winnowing, Schleimer et al. 2003), so copies of a passage are cut alike inside, whatever stands around them, with or without marks. White
+space stays with its piece, so the pieces join to the whole text again. "Sentence" below and in the counts that come out means such a piece; none
+is longer than CUT_WORDS words. From every sentence the shortest run forward, and the shortest run backward, that is long enough is hashed: at least
 `min_words` words in at least two sentences, or `lone_words` words in fewer. Any stretch of two or more sentences and `min_words` words that
-two places share is then covered by shared runs from its first to its last sentence, and so is one long sentence.
+two places share is then covered by shared runs from its first to its last sentence, and so is one long sentence. A passage of over 50 words
+(min_words + 2 * CUT_WORDS - 1, and more) that stands in mid-sentence has its first common cut within its first CUT_WORDS words and its last within its last, and
+goes between them: up to CUT_WORDS words at either end may stay.
 Runs are joined globally by hash; of equal runs the first, by doc_id and place, stays, and every sentence that any other covers goes.
 
 Runs compare by their words, whatever white space stands between them. Skew: inside each batch of documents only the first
@@ -26,15 +31,46 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import only
 
-SENTENCE_END = re.compile(r"(?<=\n)(?=[^\n])|(?<=[.!?]\s)(?=\S)")
+SENTENCE_END = re.compile(r"""\n(?=[^\n])|[.!?]["'”’»)\]]*\s+(?=\S)""")
+WORD = re.compile(r"\S+")
+#: Words among which one begins a piece. A passage of 51 words keeps 51 - 2 * 16 + 1 = 20 between its first and last common cut.
+CUT_WORDS = 16
 NO_ID = -(1 << 63)
 #: Runs that are compared inside a batch before the shuffle.
 BATCH_RUNS = 150_000
 
 
 def split_sentences(text: str) -> list[str]:
-    """Sentences with the white space behind them; joined, they are the text."""
-    return SENTENCE_END.split(text) if text else []
+    """Sentences, long ones in pieces, with the white space behind them; joined, they are the text."""
+    out, start = [], 0
+    for end in [*(m.end() for m in SENTENCE_END.finditer(text or "")), len(text or "")]:
+        if end > start:
+            out += pieces(text[start:end])
+            start = end
+    return out
+
+
+def pieces(sentence: str) -> list[str]:
+    """A sentence cut before the word with the smallest hash, the first of equal ones, of every CUT_WORDS neighbouring words."""
+    if len(sentence) < 2 * CUT_WORDS + 1:
+        return [sentence]
+    words = sentence.split()
+    if len(words) <= CUT_WORDS:
+        return [sentence]
+    h = [xxhash.xxh32_intdigest(w) for w in words]
+    least, cuts = -1, []
+    for i in range(len(h) - CUT_WORDS + 1):
+        end = i + CUT_WORDS
+        if least < i:
+            least = h.index(min(h[i:end]), i)
+        elif h[end - 1] < h[least]:
+            least = end - 1
+        else:
+            continue
+        cuts.append(least)
+    starts = [m.start() for m in WORD.finditer(sentence)]
+    at = [0, *(starts[c] for c in cuts if c), len(sentence)]
+    return [sentence[a:b] for a, b in zip(at, at[1:])]
 
 
 def runs(words: list[int], min_words: int, lone_words: int) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """Mixing, fingerprints, sentence spans, preference pairs, neighbours and the pipeline, against plain versions."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -155,6 +156,24 @@ def test_shared_passages_go_and_the_rest_stays(spark, monkeypatch):
     assert all(got[i] == f"Own start number {i} of this text.\nOwn end {i}." for i in range(1, 60)) and got[101] == "Alone B.\nTail."
 
 
+def test_passages_in_mid_sentence_and_without_marks_go(spark):
+    rng = random.Random(8)
+    own = lambda i, n: " ".join(f"o{i}-{rng.randint(0, 10 ** 9)}" for _ in range(n))
+    marked = [f"Six words stand in this. {' '.join(f'm{j}' for j in range(47))}."]
+    plain = [" ".join(f"q{k}-{j}" for j in range(51)) for k in range(12)]
+    rows = [(2 * k + i, f"{own(i, 30)} {p} {own(i, 30)}") for k, p in enumerate(marked + plain) for i in range(2)]
+    got = {r.doc_id: r for r in sentences.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        if d % 2 == 0:
+            assert got[d].text == text and got[d].removed_words == 0
+        else:
+            assert got[d].removed_words >= 20 and [w for w in got[d].text.split() if w.startswith("o1")] == [w for w in text.split() if w.startswith("o1")]
+    text = "He said \"so.\"  Then (he left.) Gone.\n\nNew " + own(9, 90)
+    assert "".join(sentences.split_sentences(text)) == text
+    assert sentences.split_sentences(text)[:3] == ["He said \"so.\"  ", "Then (he left.) ", "Gone.\n\n"]
+    assert max(len(s.split()) for s in sentences.split_sentences(text)) <= sentences.CUT_WORDS
+
+
 def test_spans_of_odd_rows(odd, empty):
     got = sentences.deduplicated(odd)
     assert got.columns == [*odd.columns, "n_sentences", "removed_sentences", "removed_words"]

@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, fingerprints, mixing, near, neighbours, preference, sentences, tokenfiles, toxicity, unigram
+from barloom.llm import bpe, fingerprints, mixing, near, neighbours, preference, q_rules, sentences, tokenfiles, toxicity, unigram
 from barloom.llm.common import materialise, table
 from barloom.session import shared_dir
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES: dict = dict(q_rules.QUERIES)
+ORACLE: dict = dict(q_rules.ORACLE)
 
 
 def query(name: str, sql: str | None = None):

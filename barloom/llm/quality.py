@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions.scale import with_scalars
 from barloom.llm.common import materialise, only
 
 SYMBOLS = b"#*$%&|<>"
@@ -144,8 +145,8 @@ def limits(parts: DataFrame, spread: int = SPREAD, least_rows: int = LEAST_ROWS)
     by_lang, in_all = merged(parts, ["lang"]), merged(parts, [])
     own = fences(quartiles(parts, ["lang", "source"]), ["lang", "source"], "own")
     tongue = fences(quartiles(by_lang, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "lang_l")
-    whole = fences(quartiles(in_all.withColumn("one", F.lit(1)), ["one"]), ["one"], "all").withColumnRenamed("one", "one_a")
-    j = (own.withColumn("one", F.lit(1)).join(tongue, F.col("lang").eqNullSafe(F.col("lang_l"))).join(whole, F.col("one") == F.col("one_a")))
+    whole = fences(quartiles(in_all, []), [], "all").drop("rows_all")
+    j = with_scalars(own.join(tongue, F.col("lang").eqNullSafe(F.col("lang_l"))), whole)
     pick = lambda k: (F.when(F.col("rows_own") >= least_rows, F.col(f"{k}_own")).when(F.col("rows_lang") >= least_rows, F.col(f"{k}_lang"))
                       .otherwise(F.col(f"{k}_all")))
     return j.select("lang", "source", *[pick(k)[side].alias(f"{side}_{k}") for k in RATES for side in ("low", "high")])

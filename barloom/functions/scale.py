@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.session import materialise
+
 SALTS = 32
 
 
@@ -98,29 +100,48 @@ def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     return z.drop(*[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 4096) -> DataFrame:
-    """Exact median per key without bringing a key together: bucket counts find the middle bucket, and only
-    the distinct values of that bucket are counted one by one."""
-    v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    rng = v.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.count(F.lit(1)).alias("_n"))
-    z = attach(v, rng, keys, ["_mn", "_mx", "_n"], nullable=keys, how="inner")
-    pos = F.floor((F.col("_v") - F.col("_mn")) / F.nullif(F.col("_mx") - F.col("_mn"), F.lit(0.0)) * buckets)
-    z = z.withColumn("_b", F.coalesce(F.least(pos, F.lit(buckets - 1)), F.lit(0)))
-    hist = z.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_k"))
-    run = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_k").over(run))
-    lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    before = F.col("_cum") - F.col("_k")
-    mid = hist.filter(((before < lo) & (lo <= F.col("_cum"))) | ((before < hi) & (hi <= F.col("_cum"))))
-    mid = mid.withColumn("_before", before)
-    w = attach(z, mid, [*keys, "_b"], ["_before"], nullable=keys, how="inner")
-    w = w.groupBy(*keys, "_b", "_before", "_n", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    w = w.withColumn("_cum", F.sum("_k").over(inner) + F.col("_before"))
-    before = F.col("_cum") - F.col("_k")
-    w = w.groupBy(*keys).agg(F.max(F.when((before < lo) & (lo <= F.col("_cum")), F.col("_v"))).alias("_lo"),
-                             F.max(F.when((before < hi) & (hi <= F.col("_cum")), F.col("_v"))).alias("_hi"))
-    return w.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(out))
+def _within(counted: DataFrame, state: DataFrame, keys: list[str], columns: list[str], salts: int = 64) -> DataFrame:
+    """Values inside their key's bracket, with columns of the state. The state is salted, so that a key with most rows meets it in many places."""
+    s = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    z = attach(counted.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")), s, [*keys, "_salt"], list({"_lo", "_hi", *columns}), nullable=keys, how="inner")
+    return z.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).drop("_salt")
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 64, small: int = 100_000) -> DataFrame:
+    """Exact median per key without bringing a key's values together, whatever their distribution.
+
+    Equal values are counted first, where they lie. A bracket per key is then narrowed in rounds: a mergeable sketch of the distinct values
+    inside it gives `buckets` - 1 pivots, exact counts tell between which of them the two middle ranks lie. Each round leaves about two of `buckets`
+    shares of the distinct values, however many rows share a value, until no bracket holds more than `small`; those are ranked. The driver sees
+    one number per round.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    counted = materialise(counted, "median-values")
+    state = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    state = materialise(state.withColumn("_below", F.lit(0).cast("long")), "median-state")
+    first, second = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    while (state.agg(F.max("_m")).first()[0] or 0) > small:
+        counted = materialise(_within(counted, state, keys, []).select(*keys, "_v", "_k"), "median-values")
+        steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        pivots = counted.groupBy(*keys).agg(F.percentile_approx("_v", steps, 10000).alias("_pivots"))
+        state = attach(state, pivots, keys, ["_pivots"], nullable=keys, how="inner")
+        z = _within(counted, state, keys, ["_pivots"])
+        z = z.withColumn("_part", F.size(F.filter("_pivots", lambda p: p < F.col("_v"))))
+        parts = z.groupBy(*keys, "_part").agg(F.sum("_k").alias("_w"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        parts = attach(parts, state, keys, ["_n", "_below"], nullable=keys, how="inner")
+        upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+        parts = parts.withColumn("_upto", F.col("_below") + F.sum("_w").over(upto))
+        past = F.col("_upto") - F.col("_w")
+        parts = parts.filter(((past < first) & (first <= F.col("_upto"))) | ((past < second) & (second <= F.col("_upto"))))
+        state = materialise(parts.groupBy(*keys, "_n").agg(F.min("_least").alias("_lo"), F.max("_most").alias("_hi"), F.sum("_d").alias("_m"),
+                                                           F.min(past).alias("_below")), "median-state")
+    z = _within(counted, state, keys, ["_n", "_below"])
+    upto = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    z = z.withColumn("_upto", F.col("_below") + F.sum("_k").over(upto))
+    past = F.col("_upto") - F.col("_k")
+    pick = lambda rank: F.max(F.when((past < rank) & (rank <= F.col("_upto")), F.col("_v")))
+    z = z.groupBy(*keys).agg(pick(first).alias("_first"), pick(second).alias("_second"))
+    return z.select(*keys, ((F.col("_first") + F.col("_second")) / 2).alias(out))
 
 
 def last_at_or_before(facts: DataFrame, probes: DataFrame, key: str, fact_date: str, probe_date: str,

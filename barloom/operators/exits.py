@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, flag
 from barloom.functions.scale import last_at_or_before, top_k
+from barloom.session import materialise
 
 # Reasons by action.
 INTRADAY_REASONS = {
@@ -84,27 +87,71 @@ def exit_intraday(positions: DataFrame, snapshot: DataFrame, minute: DataFrame,
         .otherwise(0).cast("long").alias("action_qty"), _reason(F.col("action"), INTRADAY_REASONS).alias("reason"))
 
 
+#: Bars of a block in the search for the first passage.
+BLOCK = 64
+FULL, LEAST = 10, 5
+
+
+def close_index(bars: DataFrame) -> DataFrame:
+    """Per bar with a close: its number rn, the closes from it on (up to nine), and the highest close and highest ten-bar average from it on. Both
+    are running maxima from the newest bar back. Stored, since four lookups read it."""
+    w = W.partitionBy("symbol").orderBy("trade_date")
+    down = W.partitionBy("symbol").orderBy(F.col("trade_date").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    b = bars.filter(F.col("close").isNotNull()).select("symbol", "trade_date", "close")
+    b = b.withColumns({"rn": F.row_number().over(w), "_ma": F.avg("close").over(w.rowsBetween(1 - FULL, 0)),
+                       "head": F.array("close", *[F.lead("close", i).over(w) for i in range(1, FULL - 1)])})
+    b = b.withColumns({"high_after": F.max("close").over(down), "ma_after": F.max(F.when(F.col("rn") >= FULL, F.col("_ma"))).over(down)})
+    return materialise(b.drop("_ma"), "close-index")
+
+
+def first_passage(entries: DataFrame, index: DataFrame, hit: Callable[[Column], Column]) -> DataFrame:
+    """entries (symbol, rn and what `hit` reads) with `passage`: the number of the first bar from rn on whose close fulfils `hit`, a rule that
+    holds above some price. The entry's own block is looked through, then the maxima of the later blocks, then the
+    first block that has a hit: three equi joins of one row each, whatever lies between entry and passage."""
+    blocks = (index.groupBy("symbol", F.floor((F.col("rn") - 1) / BLOCK).alias("block"))
+              .agg(F.sort_array(F.collect_list(F.struct("rn", "close"))).alias("closes"), F.max("close").alias("high")))
+    tops = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "high"))).alias("tops"))
+    at = lambda own, closes: blocks.select("symbol", F.col("block").alias(own), F.col("closes").alias(closes))
+    z = entries.withColumn("_own", F.floor((F.col("rn") - 1) / BLOCK))
+    z = z.join(at("_own", "_closes"), ["symbol", "_own"], "left").join(tops, "symbol", "left")
+    z = z.withColumn("_here", F.get(F.filter("_closes", lambda x: (x["rn"] >= F.col("rn")) & hit(x["close"])), F.lit(0))["rn"])
+    later = F.get(F.filter("tops", lambda x: (x["block"] > F.col("_own")) & hit(x["high"])), F.lit(0))["block"]
+    z = z.withColumn("_later", F.when(F.col("_here").isNull(), later)).join(at("_later", "_further"), ["symbol", "_later"], "left")
+    there = F.get(F.filter("_further", lambda x: hit(x["close"])), F.lit(0))["rn"]
+    return z.withColumn("passage", F.coalesce("_here", there)).drop("_own", "_closes", "tops", "_here", "_later", "_further")
+
+
 def exit_after_close(positions: DataFrame, bars: DataFrame, stops: DataFrame) -> DataFrame:
     """Review from completed daily bars; a stop is only ever raised.
 
-    Each position is joined with the bars since its own entry (equi key symbol), so its window is bounded by
-    its holding time.
+    A position looks up its first bar, the bar at which its gain first reached 5 % (`first_passage`), and the highest ten-bar average from
+    there on. Averages of the first nine bars have fewer terms and are put together from the entry bar's closes. No position meets its bars one by one.
     """
     key = ["account", "symbol"]
-    b = bars.filter(F.col("close").isNotNull()).select("symbol", "trade_date", "close")
-    p = positions.select(*key, "qty", "avg_cost", "start_date")
-    j = p.join(b, "symbol").filter(F.col("start_date").isNull() | (F.col("trade_date") >= F.col("start_date")))
-    w = W.partitionBy(*key).orderBy("trade_date")
-    ten, upto = w.rowsBetween(-9, 0), w.rowsBetween(W.unboundedPreceding, 0)
-    j = j.withColumns({"_ma": F.when(F.count("close").over(ten) >= 5, F.avg("close").over(ten)),
-                       "_high": F.max("close").over(upto)})
-    reached = F.col("_high") / F.col("avg_cost") - 1 >= 0.05
-    a = j.groupBy(*key).agg(F.max("trade_date").alias("data_date"), F.max_by("close", "trade_date").alias("_last"),
-                            F.max("_high").alias("_high"), F.max(F.when(reached, F.col("_ma"))).alias("_raised"))
-    x = p.join(a, key, "left").join(stops.select("symbol", F.col("stop").alias("_saved")), "symbol", "left")
+    index = close_index(bars)
+    p = positions.select(*key, "qty", "avg_cost", F.coalesce("start_date", F.lit("1900-01-01").cast("date")).alias("start_date"))
+    start = last_at_or_before(index, p, "symbol", "trade_date", "start_date", ["rn", "head", "high_after"], forward=True)
+    newest = index.groupBy("symbol").agg(F.max("trade_date").alias("_date"), F.max_by("close", "trade_date").alias("_close"))
+    z = p.join(start, ["symbol", "start_date"], "left").join(newest, "symbol", "left")
+    z = first_passage(z, index, lambda c: flag(F.try_divide(c, F.col("avg_cost")) - 1 >= 0.05))
+    z = z.withColumn("_full", F.greatest(F.col("passage"), F.col("rn") + FULL - 1))
+    z = z.withColumn("_full", F.when(F.col("passage").isNotNull(), F.col("_full")))
+    z = z.join(index.select("symbol", F.col("rn").alias("_full"), F.col("ma_after").alias("_ma_after")), ["symbol", "_full"], "left")
+
+    def early(k: int) -> Column:
+        """Average of the first k closes, where the passage has happened by then."""
+        total = F.get("head", F.lit(0))
+        for i in range(1, k):
+            total = total + F.get("head", F.lit(i))
+        return F.when(F.col("rn") + k - 1 >= F.col("passage"), total / k)
+
+    here = F.col("rn").isNotNull()
+    x = z.select(*key, "qty", "avg_cost", F.when(here, F.col("_date")).alias("data_date"), F.when(here, F.col("_close")).alias("_last"),
+                 F.col("high_after").alias("_high"), F.greatest("_ma_after", *[early(k) for k in range(LEAST, FULL)]).alias("_raised"))
+    x = x.join(stops.select("symbol", F.col("stop").alias("_saved")), "symbol", "left")
     ok = flag((F.col("avg_cost") > 0) & (F.col("_saved") > 0)) & F.col("_last").isNotNull()
     x = x.withColumns({"_ok": ok, "_stop": F.greatest(F.col("_saved"), F.coalesce("_raised", F.lit(0.0))),
-                       "_gain": F.col("_high") / F.col("avg_cost") - 1})
+                       "_gain": F.try_divide("_high", "avg_cost") - 1})
     x = x.withColumns({"_trail": F.when(flag(F.col("_gain") >= 0.08), F.col("_high") * 0.95),
                        "_draw": (F.col("_high") - F.col("_last")) / F.col("_high")})
     x = x.withColumn("action", first_match([(~F.col("_ok"), "DATA_ERROR"), (F.col("_last") < F.col("_stop"), "EXIT_NEXT_SESSION"),

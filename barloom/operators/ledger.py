@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, norm_code, to_double
 from barloom.functions.scale import newest_row, running_sums
+from barloom.session import materialise
 
 # Sides, states, defaults and header names.
 BUY, SELL, OPEN, CLOSED, DEFAULT_ACCOUNT, DEFAULT_TIME = "买入", "卖出", "持仓中", "已清仓", "默认账户", "15:00:00"
@@ -88,65 +90,111 @@ def append_transactions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
     return led, balances(led).filter("balance < 0")
 
 
+#: Fields that ride along through every level of the fold, and how they are joined up.
+_SUMS = ("q", "buy_qty", "sell_qty", "buy_amount", "sell_amount", "buy_cost", "sell_net")
+_LATEST = ("last_date", "sell_date", "opened", "named")
+
+
 def _compose(acc: Column, x: Column) -> Column:
-    """First acc, then x: average cost is a*avg+b, realised result grows by d*avg+e; both are linear in avg."""
+    """First acc, then x. Cost: the average becomes a*avg + b and the realised result grows by d*avg + e, both linear in the average. Free
+    quantity: f becomes max(f + up, least), so clamping at zero composes as well."""
     return F.struct((x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"),
-                    (acc["d"] + x["d"] * acc["a"]).alias("d"), (acc["e"] + x["e"] + x["d"] * acc["b"]).alias("e"))
+                    (acc["d"] + x["d"] * acc["a"]).alias("d"), (acc["e"] + x["e"] + x["d"] * acc["b"]).alias("e"),
+                    (acc["up"] + x["up"]).alias("up"), F.greatest(acc["least"] + x["up"], x["least"]).alias("least"))
 
 
-def _fold(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e"))
-    arr = F.sort_array(F.collect_list(F.struct(pos, "a", "b", "d", "e")))
-    f = df.groupBy(*keys).agg(arr.alias("_maps")).withColumn("_f", F.aggregate("_maps", one, _compose))
-    return f.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in "abde"])
+def _composed(maps: Column) -> Column:
+    """One map for an array of structs (pos, a, b, d, e, up, least) in the order of pos."""
+    zero = F.lit(0).cast("long")
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"), F.lit(0.0).alias("e"), zero.alias("up"), F.lit(-(1 << 60)).cast("long").alias("least"))
+    return F.aggregate(F.sort_array(maps), one, _compose)
 
 
-def positions(txns: DataFrame, block: int = 4096) -> DataFrame:
-    """Moving-average cost position per (account, symbol).
+def _level(df: DataFrame, keys: list[str], pos: list[str]) -> DataFrame:
+    """One level of the fold: rows of equal keys become one, their maps composed in the order of pos."""
+    at = F.struct(*pos).alias("pos")
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(at, "a", "b", "d", "e", "up", "least")).alias("maps"),
+                              *[F.sum(c).alias(c) for c in _SUMS], *[F.max(c).alias(c) for c in _LATEST], F.min("first_date").alias("first_date"))
+    g = g.withColumn("m", _composed(F.col("maps")))
+    return g.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "d", "e", "up", "least")], *_SUMS, *_LATEST, "first_date")
 
-    Each transaction is a linear map of (average cost, realised result). Maps compose, so a long history is
-    folded in blocks of `block` rows, then blocks of blocks, and no array grows with a hot holder.
+
+def fold(txns: DataFrame, block: int = 4096) -> DataFrame:
+    """The ledger's one pass: everything that positions, cycles and lots need, per run of at most `block` transactions of one (account, symbol,
+    date) and cycle.
+
+    A run is a product of maps (see _compose), so a hot holder is never walked by one task: totals per date give the balance at the start of each
+    date, dates are worked on apart, and the runs, stored once, are put together level by level. No array holds more than `block`
+    entries, the last level's one entry per date and block of blocks. `cycle` numbers the openings (a buy from a flat balance) of an (account, symbol).
     """
-    z = balances(txns)
-    z = running_sums(z, KEY, "trade_date", ORDER, {"_pos": F.lit(1)})
-    buy, after, before = is_buy(), F.col("balance").cast("double"), F.col("balance_before").cast("double")
-    cost = F.col("amount") + F.col("fee")
-    m = z.select(*KEY, "_pos",
-                 F.when(buy, before / after).otherwise(F.when(after == 0, 0.0).otherwise(1.0)).alias("a"),
-                 F.when(buy, cost / after).otherwise(0.0).alias("b"),
-                 F.when(buy, 0.0).otherwise(-F.col("qty").cast("double")).alias("d"),
-                 F.when(buy, 0.0).otherwise(F.col("amount") - F.col("fee")).alias("e"))
-    m = _fold(m.withColumn("_b1", F.floor(F.col("_pos") / block)), [*KEY, "_b1"], "_pos")
-    m = _fold(m.withColumn("_b2", F.floor(F.col("_b1") / block)), [*KEY, "_b2"], "_b1")
-    m = _fold(m, KEY, "_b2")
-    tot = txns.groupBy(*KEY).agg(
-        F.sum(signed_qty()).alias("qty"),
-        F.sum(F.when(is_buy(), F.col("amount").cast(MONEY))).cast("double").alias("buy_amount"),
-        F.coalesce(F.sum(F.when(is_sell(), F.col("amount").cast(MONEY))).cast("double"), F.lit(0.0)).alias("sell_amount"),
-        F.max("trade_date").alias("last_date"),
-        F.coalesce(F.max_by(F.when(F.col("name") != "", F.col("name")),
-                            F.when(F.col("name") != "", F.struct(*ORDER))), F.lit("")).alias("name"))
-    out = tot.join(m, KEY)
-    return out.select(*KEY, "name", "qty", F.round("b", 4).alias("avg_cost"), "buy_amount", "sell_amount",
-                      F.round("e", 2).alias("realised_pnl"), "last_date",
-                      F.when(F.col("qty") > 0, OPEN).otherwise(CLOSED).alias("status"))
+    signed, day = signed_qty(), [*KEY, "trade_date"]
+    before_day = W.partitionBy(*KEY).orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1)
+    starts = (txns.groupBy(*day).agg(F.sum(signed).alias("_d"))
+              .select(*day, F.coalesce(F.sum("_d").over(before_day), F.lit(0)).alias("_start")))
+    inside = W.partitionBy(*day).orderBy(*ORDER[1:])
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    z = txns.select(*day, *ORDER[1:], "side", "qty", "amount", "fee", "name").join(starts, day)
+    z = z.withColumns({"_run": F.sum(signed).over(upto), "_i": F.row_number().over(inside)})
+    z = z.withColumns({"_after": F.col("_start") + F.col("_run"), "_before": F.col("_start") + F.col("_run") - signed})
+    z = z.withColumn("_open", (is_buy() & (F.col("_before") == 0)).cast("int"))
+    z = z.withColumns({"_cycle": F.sum("_open").over(upto), "_block": F.floor((F.col("_i") - 1) / block)})
+    buy, sell, after = is_buy(), is_sell(), F.col("_after").cast("double")
+    paid = (F.col("amount") + F.col("fee"))
+    share = lambda x: F.coalesce(F.try_divide(x, after), F.lit(0.0))
+    cost_map = F.struct(F.struct("_i").alias("pos"), F.when(buy, share(F.col("_before").cast("double"))).otherwise(F.when(after == 0, 0.0).otherwise(1.0)).alias("a"),
+                        F.when(buy, share(paid)).otherwise(0.0).alias("b"), F.when(buy, 0.0).otherwise(-F.col("qty").cast("double")).alias("d"),
+                        F.when(buy, 0.0).otherwise(F.col("amount") - F.col("fee")).alias("e"), signed.alias("up"), F.lit(0).cast("long").alias("least"))
+    amount, fee = F.col("amount").cast(MONEY), F.col("fee").cast(MONEY)
+    runs = z.groupBy(*day, "_cycle", "_block").agg(
+        F.collect_list(cost_map).alias("maps"), F.max("_open").alias("opening"), F.sum(signed).alias("q"),
+        F.sum(F.when(buy, F.col("qty")).otherwise(0)).alias("buy_qty"), F.sum(F.when(sell, F.col("qty")).otherwise(0)).alias("sell_qty"),
+        F.sum(F.when(buy, amount)).alias("buy_amount"), F.sum(F.when(sell, amount)).alias("sell_amount"),
+        F.sum(F.when(buy, amount + fee)).alias("buy_cost"), F.sum(F.when(sell, amount - fee)).alias("sell_net"),
+        F.max(F.when(sell, F.col("trade_date"))).alias("sell_date"), F.max(F.when(F.col("_open") == 1, F.col("trade_date"))).alias("opened"),
+        F.max(F.when(F.col("name") != "", F.struct(*ORDER, "name"))).alias("named"))
+    runs = runs.withColumn("m", _composed(F.col("maps")))
+    runs = runs.select(*day, "_cycle", "_block", "opening", *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "d", "e", "up", "least")],
+                       *_SUMS, F.col("trade_date").alias("first_date"), F.col("trade_date").alias("last_date"), "sell_date", "opened", "named")
+    return materialise(runs, "ledger-fold")
+
+
+def _name() -> Column:
+    return F.coalesce(F.col("named.name"), F.lit("")).alias("name")
+
+
+def holdings(runs: DataFrame, block: int = 4096, day: str | None = None) -> DataFrame:
+    """One row per (account, symbol) of a fold: the position, and with `day` the start date and the quantity that can be sold on that day
+    (buys of the day itself are not free yet)."""
+    if day is not None:
+        free = F.col("trade_date") < F.lit(day).cast("date")
+        runs = runs.withColumns({"up": F.when(free, F.col("up")).otherwise(-F.col("sell_qty")), "least": F.when(free, F.col("least")).otherwise(0)})
+    dates = [*KEY, "trade_date"]
+    z = _level(runs, [*dates, "_block"], ["_cycle"])
+    z = _level(z.withColumn("_blocks", F.floor(F.col("_block") / block)), [*dates, "_blocks"], ["_block"])
+    z = _level(z, KEY, ["trade_date", "_blocks"])
+    sold = F.coalesce(F.col("sell_amount").cast("double"), F.lit(0.0))
+    cols = [*KEY, _name(), F.col("q").alias("qty"), F.round("b", 4).alias("avg_cost"), F.col("buy_amount").cast("double").alias("buy_amount"),
+            sold.alias("sell_amount"), F.round("e", 2).alias("realised_pnl"), "last_date", F.when(F.col("q") > 0, OPEN).otherwise(CLOSED).alias("status")]
+    if day is not None:
+        cols += [F.col("opened").alias("start_date"), F.least(F.col("q"), F.greatest(F.col("up"), F.col("least"), F.lit(0))).alias("sellable")]
+    return z.select(*cols)
 
 
-def trade_cycles(txns: DataFrame) -> DataFrame:
-    """From flat to flat: one row per cycle with dates, quantities, cost, net proceeds, result."""
-    z = balances(txns)
-    opening = F.when(is_buy() & (F.col("balance_before") == 0), 1).otherwise(0)
-    z = running_sums(z, KEY, "trade_date", ORDER, {"cycle": opening})
-    cost = F.col("amount").cast(MONEY) + F.col("fee").cast(MONEY)
-    net = F.col("amount").cast(MONEY) - F.col("fee").cast(MONEY)
-    c = z.groupBy(*KEY, "cycle").agg(
-        F.coalesce(F.max_by(F.when(F.col("name") != "", F.col("name")),
-                            F.when(F.col("name") != "", F.struct(*ORDER))), F.lit("")).alias("name"),
-        F.min("trade_date").alias("buy_date"), F.max(F.when(is_sell(), F.col("trade_date"))).alias("sell_date"),
-        F.sum(F.when(is_buy(), F.col("qty")).otherwise(0)).alias("buy_qty"),
-        F.sum(F.when(is_sell(), F.col("qty")).otherwise(0)).alias("sell_qty"),
-        F.sum(F.when(is_buy(), cost)).cast("double").alias("buy_cost"),
-        F.coalesce(F.sum(F.when(is_sell(), net)).cast("double"), F.lit(0.0)).alias("sell_net"))
+def positions(txns: DataFrame, block: int = 4096) -> DataFrame:
+    """Moving-average cost position per (account, symbol)."""
+    return holdings(fold(txns, block), block)
+
+
+def cycles(runs: DataFrame) -> DataFrame:
+    """From flat to flat: one row per cycle of a fold with dates, quantities, cost, net proceeds, result."""
+    days = [*KEY, "trade_date"]
+    earlier = W.partitionBy(*KEY).orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1)
+    opened = (runs.groupBy(*days).agg(F.sum("opening").alias("_n")).select(*days, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past")))
+    c = (runs.join(opened, days).withColumn("cycle", F.col("_past") + F.col("_cycle")).groupBy(*KEY, "cycle")
+         .agg(*[F.sum(x).alias(x) for x in ("buy_qty", "sell_qty", "buy_cost", "sell_net")], F.min("first_date").alias("buy_date"),
+              F.max("sell_date").alias("sell_date"), F.max("named").alias("named")))
+    c = c.select(*KEY, "cycle", _name(), "buy_date", "sell_date", "buy_qty", "sell_qty", F.col("buy_cost").cast("double").alias("buy_cost"),
+                 F.coalesce(F.col("sell_net").cast("double"), F.lit(0.0)).alias("sell_net"))
     done = F.col("buy_qty") == F.col("sell_qty")
     pnl = F.col("sell_net") - F.col("buy_cost")
     return c.withColumns({
@@ -155,25 +203,17 @@ def trade_cycles(txns: DataFrame) -> DataFrame:
         "status": F.when(done, CLOSED).otherwise(OPEN)})
 
 
+def trade_cycles(txns: DataFrame) -> DataFrame:
+    return cycles(fold(txns))
+
+
 def active_symbols(pos: DataFrame) -> DataFrame:
     return pos.filter("qty > 0").select("symbol").distinct()
 
 
 def active_lots(txns: DataFrame, day: str) -> DataFrame:
-    """Open positions with start date and T+1 sellable quantity.
-
-    Sells clamp the sellable balance at zero. With X the unclamped running sum the clamped one is
-    X - min(0, lowest X so far), so only the last and the lowest X are needed.
-    """
-    before_day = F.col("trade_date") < F.lit(day).cast("date")
-    free = F.when(is_buy(), F.when(before_day, F.col("qty")).otherwise(0)).otherwise(-F.col("qty"))
-    z = running_sums(txns, KEY, "trade_date", ORDER, {"balance": signed_qty(), "_x": free})
-    opened = is_buy() & (F.col("balance") == F.col("qty"))
-    lots = z.groupBy(*KEY).agg(F.max(F.when(opened, F.col("trade_date"))).alias("start_date"),
-                               F.sum(free).alias("_last"), F.min("_x").alias("_low"))
-    lots = lots.withColumn("_free", F.col("_last") - F.least(F.lit(0), F.col("_low"))).drop("_last", "_low")
-    pos = positions(txns).filter("qty > 0")
-    return pos.join(lots, KEY).withColumn("sellable", F.least("qty", "_free")).drop("_free")
+    """Open positions with start date and T+1 sellable quantity."""
+    return holdings(fold(txns), day=day).filter("qty > 0")
 
 
 def latest_stops(recos: DataFrame) -> DataFrame:

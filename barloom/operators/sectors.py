@@ -130,14 +130,19 @@ def finalise_mapping(mapping: DataFrame, master: DataFrame) -> DataFrame:
     return x.groupBy("symbol", "board_type", "board").agg(F.min("name").alias("name"))
 
 
-def coverage(mapping: DataFrame, master: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Share of listed symbols with any, industry and concept boards, and the resulting state."""
+def _shares(mapping: DataFrame, master: DataFrame) -> DataFrame:
+    """One row: listed symbols, and the shares of them with any, an industry and a concept board."""
     per = mapping.groupBy("symbol").agg(F.max((F.col("board_type") == INDUSTRY).cast("int")).alias("i"),
                                         F.max((F.col("board_type") == CONCEPT).cast("int")).alias("c"))
-    z = master.select("symbol").distinct().join(per, "symbol", "left").agg(
-        F.count(F.lit(1)).alias("total"), F.round(F.avg(F.col("i").isNotNull().cast("double")), 6).alias("any_coverage"),
-        F.round(F.avg(F.coalesce("i", F.lit(0)).cast("double")), 6).alias("industry_coverage"),
-        F.round(F.avg(F.coalesce("c", F.lit(0)).cast("double")), 6).alias("concept_coverage"))
+    share = lambda hit, name: F.round(F.coalesce(F.avg(hit.cast("double")), F.lit(0.0)), 6).alias(name)
+    return master.select("symbol").distinct().join(per, "symbol", "left").agg(
+        F.count(F.lit(1)).alias("total"), share(F.col("i").isNotNull(), "any_coverage"),
+        share(F.coalesce("i", F.lit(0)), "industry_coverage"), share(F.coalesce("c", F.lit(0)), "concept_coverage"))
+
+
+def coverage(mapping: DataFrame, master: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Share of listed symbols with any, industry and concept boards, and the resulting state."""
+    z = _shares(mapping, master)
     if failures is None:
         z = z.withColumn("failure_rate", F.lit(0.0))
     else:
@@ -148,6 +153,20 @@ def coverage(mapping: DataFrame, master: DataFrame, failures: DataFrame | None =
         ((a >= 0.90) & ((i >= 0.90) | (c >= 0.90)) & (f <= 0.20), "PARTIAL")], "PROVISIONAL"))
 
 
+def source_coverage(mapping: DataFrame, master: DataFrame) -> DataFrame:
+    """board_type, source, symbols, coverage: the share of listed symbols that a source maps, symbols not listed included in its count."""
+    n = master.select(F.countDistinct("symbol").alias("total"))
+    g = mapping.filter(F.col("source").isNotNull()).groupBy("board_type", "source").agg(F.countDistinct("symbol").alias("symbols"))
+    g = with_scalars(g, n)
+    return g.select("board_type", "source", "symbols", F.coalesce(F.round(F.try_divide("symbols", "total"), 6), F.lit(0.0)).alias("coverage"))
+
+
+def baseline_usable(previous: DataFrame, master: DataFrame) -> DataFrame:
+    """One row, usable: whether a stored mapping of listed symbols is good enough to refresh only parts of it."""
+    z = _shares(previous.join(master.select("symbol"), "symbol", "left_semi"), master)
+    return z.select(flag((F.col("any_coverage") >= 0.90) & ((F.col("industry_coverage") >= 0.90) | (F.col("concept_coverage") >= 0.90))).alias("usable"))
+
+
 def unmapped(mapping: DataFrame, master: DataFrame) -> DataFrame:
     return master.select("symbol").distinct().join(mapping, "symbol", "left_anti")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, flag, safe_div, to_double
 from barloom.functions.scale import exact_median, last_at_or_before
 from barloom.operators.panel import by_symbol, spread
+from barloom.session import materialise
 
 # Match states, location states, buckets.
 MATCHED, UNMATCHED = "当前名称/规范别名匹配", "未匹配"
@@ -41,7 +43,7 @@ def attach_codes(trades: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def bar_context(bars: DataFrame) -> DataFrame:
-    """Per bar: position, what preceded it and what followed it."""
+    """Per bar: position, what preceded it and what followed it. Stored: located trades look it up three times."""
     w = by_symbol()
     five, twenty = w.rowsBetween(-5, -1), w.rowsBetween(-20, -1)
     x = spread(bars.select("symbol", "trade_date", "close", "high", "low", "volume"), "symbol")
@@ -49,11 +51,22 @@ def bar_context(bars: DataFrame) -> DataFrame:
         "rn": F.row_number().over(w), "_c1": F.lag("close", 1).over(w), "_c6": F.lag("close", 6).over(w),
         "_c21": F.lag("close", 21).over(w), "_v5": F.avg("volume").over(five), "_v20": F.avg("volume").over(twenty),
         "high20": F.max("high").over(twenty), "_n5": F.lead("close", 5).over(w), "_n10": F.lead("close", 10).over(w)})
-    return x.select(
+    x = x.select(
         "symbol", "trade_date", "rn", "high", "low", "high20",
         ((safe_div("_c1", "_c6") - 1) * 100).alias("pre5_pct"), ((safe_div("_c1", "_c21") - 1) * 100).alias("pre20_pct"),
         safe_div("_v5", "_v20").alias("pre_volume_ratio"),
         ((safe_div("_n5", "close") - 1) * 100).alias("post5_pct"), ((safe_div("_n10", "close") - 1) * 100).alias("post10_pct"))
+    return materialise(x, "bar-context")
+
+
+def span_extremes(ctx: DataFrame, longest: int) -> DataFrame:
+    """symbol, rn, highs, lows: element k of an array is the extreme of the 2**k bars from rn on (fewer at a symbol's end), for spans of up to `longest`
+    bars. Each level is one offset read of the level below, all over one exchange and sort."""
+    w, x, k = W.partitionBy("symbol").orderBy("rn"), ctx.select("symbol", "rn", F.col("high").alias("_h0"), F.col("low").alias("_l0")), 0
+    while 2 << k <= longest:
+        x = x.withColumns({f"_h{k + 1}": F.greatest(f"_h{k}", F.lead(f"_h{k}", 1 << k).over(w)), f"_l{k + 1}": F.least(f"_l{k}", F.lead(f"_l{k}", 1 << k).over(w))})
+        k += 1
+    return x.select("symbol", "rn", F.array(*[f"_h{i}" for i in range(k + 1)]).alias("highs"), F.array(*[f"_l{i}" for i in range(k + 1)]).alias("lows"))
 
 
 def locate(trades: DataFrame, bars: DataFrame) -> DataFrame:
@@ -74,18 +87,23 @@ def locate(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def enrich(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Location plus all eight measures. Holding extremes join bars on (symbol, position): no range scan."""
+    """Location plus all eight measures. The extremes of a holding time are those of two overlapping spans of 2**k bars, one from its first bar and
+    one up to its last: two lookups by (symbol, position), whatever its length."""
     ctx = bar_context(bars)
-    z = locate(trades, ctx)
+    z = materialise(locate(trades, ctx), "trades-located")
     ok = F.col("bar_status") == OK
-    spans = z.filter(ok).select("symbol", "entry_rn", "exit_rn").distinct()
-    days = spans.withColumn("rn", F.explode(F.sequence("entry_rn", "exit_rn")))
-    ext = (days.join(ctx.select("symbol", "rn", "high", "low"), ["symbol", "rn"])
-           .groupBy("symbol", "entry_rn", "exit_rn").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo")))
-    at_entry = ctx.select("symbol", F.col("rn").alias("entry_rn"), "pre5_pct", "pre20_pct", "pre_volume_ratio", "high20")
+    length = F.col("exit_rn") - F.col("entry_rn") + 1
+    longest = z.filter(ok).agg(F.max(length)).first()[0] or 1
+    # floor(log2(length)) is the number of binary digits less one.
+    z = z.withColumn("_k", F.when(ok, F.length(F.bin(length.cast("long"))) - 1))
+    z = z.withColumn("_second", F.col("exit_rn") - F.call_function("shiftleft", F.lit(1), F.col("_k")) + 1)
+    spans = span_extremes(ctx, longest)
+    at_entry = (ctx.select("symbol", "rn", "pre5_pct", "pre20_pct", "pre_volume_ratio", "high20").join(spans, ["symbol", "rn"])
+                .withColumnsRenamed({"rn": "entry_rn", "highs": "_highs", "lows": "_lows"}))
+    second = spans.select("symbol", F.col("rn").alias("_second"), F.col("highs").alias("_highs2"), F.col("lows").alias("_lows2"))
     at_exit = ctx.select("symbol", F.col("rn").alias("exit_rn"), "post5_pct", "post10_pct")
-    z = (z.join(ext, ["symbol", "entry_rn", "exit_rn"], "left").join(at_entry, ["symbol", "entry_rn"], "left")
-         .join(at_exit, ["symbol", "exit_rn"], "left"))
+    z = (z.join(at_entry, ["symbol", "entry_rn"], "left").join(second, ["symbol", "_second"], "left").join(at_exit, ["symbol", "exit_rn"], "left"))
+    z = z.withColumns({"_hi": F.greatest(F.get("_highs", "_k"), F.get("_highs2", "_k")), "_lo": F.least(F.get("_lows", "_k"), F.get("_lows2", "_k"))})
     buy = F.col("buy_price")
     z = z.withColumns({"buy_vs_high20_pct": (safe_div(buy, "high20") - 1) * 100, "mfe_pct": (safe_div("_hi", buy) - 1) * 100,
                        "mae_pct": (safe_div("_lo", buy) - 1) * 100})

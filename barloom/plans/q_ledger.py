@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import exits, feedback, ledger, trades
 from barloom.plans.catalog import BARS, query, r6
+from barloom.session import materialise
 from barloom.sources import views as v
 
 TX = """txns AS (SELECT l_suppkey, dt, rn, CASE WHEN rn%4 IN (1,2) THEN 'B' ELSE 'S' END AS side,
@@ -47,15 +48,20 @@ lots AS (SELECT p.account, p.symbol, p.qty, p.avg_cost, l.start_date, CAST(least
 STOPS = "stops AS (SELECT symbol, arg_max(stop, reco_date) AS stop FROM recos GROUP BY 1)"
 
 
+def _ledger(spark, sf):
+    """The ledger view, stored: its positions come from joins, and a fold reads it twice."""
+    return materialise(v.ledger(spark, sf), "ledger")
+
+
 @query("ledger_balances", f"WITH {LED} SELECT account, symbol, txn_id, balance FROM bal")
 def _(spark, sf):
-    return ledger.balances(v.ledger(spark, sf)).select("account", "symbol", "txn_id", "balance")
+    return ledger.balances(_ledger(spark, sf)).select("account", "symbol", "txn_id", "balance")
 
 
 @query("ledger_append", f"""WITH {LED} SELECT account, symbol, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty,
   0::BIGINT AS oversold FROM led GROUP BY 1, 2""")
 def _(spark, sf):
-    t = v.ledger(spark, sf)
+    t = _ledger(spark, sf)
     old = t.filter(F.year("trade_date") < 1996)
     new = t.filter(F.year("trade_date") >= 1995)
     led, bad = ledger.append_transactions(old, new)
@@ -81,22 +87,22 @@ def _(spark, sf):
 @query("positions", f"WITH {POS} " + r6("SELECT account, symbol, qty, avg_cost, realised_pnl, buy_amount, sell_amount, last_date, status FROM pos",
                                          "avg_cost realised_pnl buy_amount sell_amount"))
 def _(spark, sf):
-    return ledger.positions(v.ledger(spark, sf)).drop("name")
+    return ledger.positions(_ledger(spark, sf)).drop("name")
 
 
 @query("active_symbols", f"WITH {POS} SELECT DISTINCT symbol FROM pos WHERE qty > 0")
 def _(spark, sf):
-    return ledger.active_symbols(ledger.positions(v.ledger(spark, sf)))
+    return ledger.active_symbols(ledger.positions(_ledger(spark, sf)))
 
 
 @query("trade_cycles", f"WITH {CYC} " + r6("SELECT * FROM cyc", "buy_cost sell_net realised_pnl return_pct"))
 def _(spark, sf):
-    return ledger.trade_cycles(v.ledger(spark, sf)).drop("name")
+    return ledger.trade_cycles(_ledger(spark, sf)).drop("name")
 
 
 @query("active_lots", f"WITH {LOTS} " + r6("SELECT account, symbol, qty, avg_cost, start_date, sellable FROM lots", "avg_cost"))
 def _(spark, sf):
-    return ledger.active_lots(v.ledger(spark, sf), DAY).select("account", "symbol", "qty", "avg_cost", "start_date", "sellable")
+    return ledger.active_lots(_ledger(spark, sf), DAY).select("account", "symbol", "qty", "avg_cost", "start_date", "sellable")
 
 
 @query("latest_stops", f"WITH {BARS}, {RECOS}, {STOPS} SELECT symbol, stop FROM stops")
@@ -105,19 +111,25 @@ def _(spark, sf):
 
 
 def _lot_inputs(spark, sf):
-    """Lots with an entry date per symbol; start dates are pulled back so that bars follow them."""
-    lots = ledger.active_lots(v.ledger(spark, sf), DAY)
-    return lots.withColumn("start_date", F.date_sub("start_date", 60)).withColumn("avg_cost", F.round(F.col("avg_cost") * 0.9, 4))
+    """Stored lots and bars; start dates are pulled back so that bars follow them."""
+    lots = ledger.active_lots(_ledger(spark, sf), DAY)
+    lots = lots.withColumn("start_date", F.date_sub("start_date", 60)).withColumn("avg_cost", F.round(F.col("avg_cost") * 0.9, 4))
+    return materialise(lots, "lots"), materialise(v.bars(spark, sf), "bars")
 
 
 LOT2 = LOTS + ", lot2 AS (SELECT account, symbol, qty, sellable, CAST(start_date - 60 AS DATE) AS start_date, round(avg_cost*0.9, 4) AS avg_cost FROM lots)"
 
 
 def _intraday(spark, sf):
-    b = v.bars(spark, sf)
+    lots, b = _lot_inputs(spark, sf)
     snap = b.groupBy("symbol").agg(F.max_by("open", "trade_date").alias("price"))
     mins = b.select("symbol", F.col("trade_date").alias("ts"), F.col("open").alias("close"))
-    return exits.exit_intraday(_lot_inputs(spark, sf), snap, mins, b, ledger.latest_stops(v.recos(spark, sf)))
+    return exits.exit_intraday(lots, snap, mins, b, ledger.latest_stops(v.recos(spark, sf, b)))
+
+
+def _after_close(spark, sf):
+    lots, b = _lot_inputs(spark, sf)
+    return exits.exit_after_close(lots, b, ledger.latest_stops(v.recos(spark, sf, b)))
 
 
 INTRA = f"""WITH {LOT2}, {BARS}, {RECOS}, {STOPS},
@@ -165,13 +177,13 @@ CLOSE = f"""WITH {LOT2}, {BARS}, {RECOS}, {STOPS},
 @query("exit_after_close", CLOSE + " " + r6("""SELECT account, symbol, CASE WHEN ok THEN data_date END AS data_date, CASE WHEN ok THEN lc END AS latest_close, CASE WHEN ok THEN hc END AS high_close,
   CASE WHEN ok THEN round(st,4) END AS stop, CASE WHEN ok THEN st > saved + 1e-9 END AS stop_raised, action FROM cl""", "latest_close high_close stop"))
 def _(spark, sf):
-    return exits.exit_after_close(_lot_inputs(spark, sf), v.bars(spark, sf), ledger.latest_stops(v.recos(spark, sf))).select(
+    return _after_close(spark, sf).select(
         "account", "symbol", "data_date", "latest_close", "high_close", "stop", "stop_raised", "action")
 
 
 @query("exit_summary", CLOSE + " SELECT action, count(*) AS n FROM cl GROUP BY 1")
 def _(spark, sf):
-    return exits.exit_summary(exits.exit_after_close(_lot_inputs(spark, sf), v.bars(spark, sf), ledger.latest_stops(v.recos(spark, sf))))
+    return exits.exit_summary(_after_close(spark, sf))
 
 
 # ---- recommendations -------------------------------------------------------------------------------
@@ -228,7 +240,7 @@ OUT = f"""{CYC}, {EVAL}, hit AS (SELECT c.*, r.reco_id FROM cyc c JOIN recos r O
 
 @query("actual_outcomes", f"WITH {OUT} " + r6("SELECT * FROM ao", "actual_return_pct"))
 def _(spark, sf):
-    return feedback.actual_outcomes(v.recos(spark, sf), v.ledger(spark, sf)).select(
+    return feedback.actual_outcomes(v.recos(spark, sf), _ledger(spark, sf)).select(
         "reco_id", "n_cycles", "actual_buy_date", "actual_sell_date", "trade_status", "actual_return_pct", "actual_result")
 
 
@@ -238,7 +250,7 @@ FB = OUT + ", fb AS (SELECT reco_id, symbol, reco_date, stop, " + ", ".join(f"CA
 
 
 def _fb(spark, sf):
-    return feedback.update_feedback(v.recos(spark, sf), v.ledger(spark, sf), v.bars(spark, sf))
+    return feedback.update_feedback(v.recos(spark, sf), _ledger(spark, sf), v.bars(spark, sf))
 
 
 @query("update_feedback", f"WITH {FB} " + r6("SELECT reco_id, ret_d3_pct, ret_d10_pct, trade_status, actual_return_pct, data_status FROM fb",
@@ -254,8 +266,9 @@ def _(spark, sf):
     b = v.bars(spark, sf)
     snaps = b.select("symbol", "trade_date", F.col("close").alias("price"), F.col("trade_date").alias("captured_at"))
     lost = v.recos(spark, sf).withColumn("reference_price", F.lit(None).cast("double"))
-    once = feedback.update_feedback(lost, v.ledger(spark, sf), b, snaps=snaps)
-    return feedback.update_feedback(once, v.ledger(spark, sf), b, snaps=snaps).select(
+    led = _ledger(spark, sf)
+    once = feedback.update_feedback(lost, led, b, snaps=snaps)
+    return feedback.update_feedback(once, led, b, snaps=snaps).select(
         "reco_id", "d3_date", "ret_d3_pct", "ret_d10_pct", "trade_status", "actual_return_pct", "actual_sell_date", "data_status", "reference_price")
 
 
@@ -343,14 +356,18 @@ TR = f"""{BARS}, trades AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_su
 _M = " ".join(trades.METRICS)
 
 
+def _enriched(spark, sf):
+    return trades.enrich(materialise(v.trades(spark, sf), "trades"), v.bars(spark, sf))
+
+
 @query("trades_located", f"WITH {TR} SELECT trade_id, account, bar_status, entry_rn, exit_rn FROM loc2")
 def _(spark, sf):
-    return trades.locate(v.trades(spark, sf), v.bars(spark, sf)).select("trade_id", "account", "bar_status", "entry_rn", "exit_rn")
+    return trades.locate(materialise(v.trades(spark, sf), "trades"), v.bars(spark, sf)).select("trade_id", "account", "bar_status", "entry_rn", "exit_rn")
 
 
 @query("trades_enriched", f"WITH {TR} " + r6(f"SELECT trade_id, {_M.replace(' ', ', ')} FROM en", _M))
 def _(spark, sf):
-    return trades.enrich(v.trades(spark, sf), v.bars(spark, sf)).select("trade_id", *trades.METRICS)
+    return _enriched(spark, sf).select("trade_id", *trades.METRICS)
 
 
 @query("trades_grouped", f"WITH {TR} " + r6("""SELECT account, bucket, count(*) AS trades, round(avg(CAST(pnl > 0 AS INT)), 4) AS win_rate,
@@ -368,14 +385,14 @@ def _(spark, sf):
     f"SELECT CASE WHEN pnl > 0 THEN 'winner' ELSE 'loser' END AS side, '{m}' AS measure, round(median({m}), 4) AS median FROM en WHERE bar_status = '成功' AND {m} IS NOT NULL GROUP BY 1"
     for m in trades.METRICS), "median"))
 def _(spark, sf):
-    return trades.outcome_medians(trades.enrich(v.trades(spark, sf), v.bars(spark, sf)))
+    return trades.outcome_medians(_enriched(spark, sf))
 
 
 @query("trade_outcome_diagnostics", f"WITH {TR} " + r6("""SELECT count(*) AS verified, count_if(pnl <= 0 AND mfe_pct >= 5) AS losers_mfe_5,
   CAST(sum(CASE WHEN pnl <= 0 AND mfe_pct >= 5 THEN CAST(pnl AS DECIMAL(24,4)) END) AS DOUBLE) AS losers_mfe_5_pnl, count_if(pnl <= 0 AND mae_pct <= -5) AS losers_mae_5,
   count_if(post5_pct >= 5) AS post5_rebound, count_if(post5_pct <= -5) AS post5_fall FROM en WHERE bar_status = '成功'""", "losers_mfe_5_pnl"))
 def _(spark, sf):
-    return trades.outcome_diagnostics(trades.enrich(v.trades(spark, sf), v.bars(spark, sf)))
+    return trades.outcome_diagnostics(_enriched(spark, sf))
 
 
 @query("trades_loaded", """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN DATE '2024-01-31' END AS open_date, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS pnl FROM customer WHERE c_custkey % 5 > 0""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators import concepts, decisions, intraday, market, observation, sectors
 from barloom.plans.catalog import BARS, SYM, query, r6
 from barloom.plans.q_ledger import RECOS
+from barloom.session import materialise
 from barloom.sources import views as v
 
 SNAP = """snap AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS trade_date, arg_max(value, event_id) AS price, sum(CAST(round(value*100) AS BIGINT))/100 AS amount
@@ -282,12 +283,36 @@ def _(spark, sf):
     return sectors.finalise_mapping(m.unionByName(m), v.master(spark, sf).withColumn("name", F.concat(F.lit("N"), F.col("s_suppkey").cast("string"))))
 
 
-@query("membership_coverage", f"""WITH {MEMB}, {MAST}, k AS (SELECT * FROM memb WHERE symbol IN (SELECT symbol FROM mast WHERE s_suppkey % 10 > 0)) SELECT count(*) AS total,
-  round(avg(CAST(symbol IN (SELECT symbol FROM k) AS INT)), 6) AS any_coverage, round(avg(CAST(symbol IN (SELECT symbol FROM k WHERE board_type='行业') AS INT)), 6) AS industry_coverage,
-  round(avg(CAST(symbol IN (SELECT symbol FROM k WHERE board_type='概念') AS INT)), 6) AS concept_coverage, 'PARTIAL' AS state FROM mast""")
+# Three mappings, of 100, 92 and 70 per cent of the listed symbols, and requests that fail in the second.
+CASES = ((1, 100, 100), (2, 92, 92), (3, 70, 50))
+_COV = " UNION ALL ".join(f"""SELECT {c} AS "case", count(*) AS total, round(avg(CAST(a AS INT)), 6) AS any_coverage, round(avg(CAST(i AS INT)), 6) AS industry_coverage, round(avg(CAST(c AS INT)), 6) AS concept_coverage,
+  {'0.1' if c == 2 else '0.0'}::DOUBLE AS failure_rate FROM (SELECT s_suppkey % 100 < {ai} AND symbol IN (SELECT symbol FROM memb) AS a, s_suppkey % 100 < {ai} AND symbol IN (SELECT symbol FROM memb WHERE board_type = '行业') AS i,
+  s_suppkey % 100 < {co} AND symbol IN (SELECT symbol FROM memb WHERE board_type = '概念') AS c FROM mast)""" for c, ai, co in CASES)
+
+
+def _mapped(spark, sf, industry, concept):
+    own = v.master(spark, sf).select("symbol", (F.col("s_suppkey") % 100).alias("k"))
+    m = v.membership(spark, sf).join(own, "symbol").filter((F.col("k") < industry) & ((F.col("board_type") == "行业") | (F.col("k") < concept)))
+    return m.withColumn("source", F.when(F.col("k") % 3 > 0, F.concat(F.lit("s"), (F.col("k") % 3).cast("string"))))
+
+
+@query("membership_coverage", f"""WITH {MEMB}, {MAST}, x AS ({_COV}) SELECT *, CASE WHEN any_coverage >= 0.95 AND industry_coverage >= 0.90 AND concept_coverage >= 0.90 THEN 'FORMAL'
+  WHEN any_coverage >= 0.90 AND (industry_coverage >= 0.90 OR concept_coverage >= 0.90) THEN 'PARTIAL' ELSE 'PROVISIONAL' END AS state,
+  any_coverage >= 0.90 AND (industry_coverage >= 0.90 OR concept_coverage >= 0.90) AS usable FROM x""")
+def _(spark, sf):
+    mast, out = v.master(spark, sf), None
+    for c, industry, concept in CASES:
+        m = _mapped(spark, sf, industry, concept)
+        tries = spark.range(10).select((F.col("id") > (0 if c == 2 else -1)).alias("ok"))
+        z = sectors.coverage(m, mast, tries).withColumns({"case": F.lit(c), "usable": sectors.baseline_usable(m, mast).scalar()})
+        out = z if out is None else out.unionByName(z)
+    return out
+
+
+@query("membership_source_coverage", f"""WITH {MEMB}, {MAST} SELECT board_type, concat('s', CAST(s_suppkey % 100 % 3 AS VARCHAR)) AS source, count(DISTINCT symbol) AS symbols,
+  round(count(DISTINCT symbol) / (SELECT count(DISTINCT symbol) FROM mast), 6) AS coverage FROM memb JOIN mast USING (symbol) WHERE s_suppkey % 100 % 3 > 0 AND s_suppkey % 100 < 92 GROUP BY 1, 2""")
 def _(spark, sf):
-    m = v.membership(spark, sf).join(v.master(spark, sf).filter("s_suppkey % 10 > 0"), "symbol", "left_semi")
-    return sectors.coverage(m, v.master(spark, sf)).drop("failure_rate")
+    return sectors.source_coverage(_mapped(spark, sf, 92, 92), v.master(spark, sf))
 
 
 @query("membership_unmapped", f"WITH {MAST} SELECT symbol FROM mast WHERE s_suppkey % 10 = 0")
@@ -308,16 +333,30 @@ def _(spark, sf):
     return sectors.sector_strength(flow(spark, sf)[0]).withColumn("evidence", F.array_join("evidence", "；"))
 
 
-ATT = f"""{FLOW}, {STR}, {MEMB}, {MAST}, at0 AS (SELECT m.*, coalesce(strength, 0) AS strength, board LIKE '%2' AS mentioned,
-  round(coalesce(strength,0) + CASE WHEN board LIKE '%2' THEN 20 ELSE 0 END + CASE WHEN board_type = '概念' THEN 8 ELSE 5 END, 4) AS attribution_score, s_suppkey % 2 = 0 AS point_in_time,
-  coalesce(nullif(concat_ws('；', ev, CASE WHEN board LIKE '%2' THEN '当日正文观点共识提及该板块' END), ''), '仅确认板块成分关系，暂缺同日板块异动证据') AS evidence_text FROM memb m JOIN mast USING (symbol) LEFT JOIN stren USING (board)),
+# A board is called by a word that begins a document; conversations are the day's texts in which these names are looked for.
+NAMED = """nm AS (SELECT concat('Brand#', CAST((ascii(w[2])*7 + length(w)*3) % 25 + 1 AS VARCHAR)) AS board, min(w) AS called FROM (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]{4,8}') AS w FROM documents) WHERE w <> '' GROUP BY 1),
+ said AS (SELECT board FROM nm WHERE EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, nm.called)))"""
+ATT = f"""{FLOW}, {STR}, {MEMB}, {MAST}, {NAMED}, at00 AS (SELECT *, board IN (SELECT board FROM said) AS mentioned FROM memb), at0 AS (SELECT m.*, coalesce(strength, 0) AS strength,
+  round(coalesce(strength,0) + CASE WHEN mentioned THEN 20 ELSE 0 END + CASE WHEN board_type = '概念' THEN 8 ELSE 5 END, 4) AS attribution_score, s_suppkey % 2 = 0 AS point_in_time,
+  coalesce(nullif(concat_ws('；', ev, CASE WHEN mentioned THEN '当日正文观点共识提及该板块' END), ''), '仅确认板块成分关系，暂缺同日板块异动证据') AS evidence_text FROM at00 m JOIN mast USING (symbol) LEFT JOIN stren USING (board)),
  att AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY attribution_score DESC, board_type, board) = 1 AS is_primary FROM at0)"""
 
 
-def attribution(spark, sf):
+def mentions(spark, sf):
+    """Boards whose name comes up in the conversations."""
+    w = v.table(spark, sf, "documents").select(F.regexp_extract("text", "^[A-Za-z]{4,8}", 0).alias("w")).filter("w <> ''").distinct()
+    n = (F.ascii(F.substring("w", 2, 1)) * 7 + F.length("w") * 3) % 25 + 1
+    names = w.groupBy(F.concat(F.lit("Brand#"), n.cast("string")).alias("board")).agg(F.min("w").alias("called"))
+    found = concepts.mentioned_boards(names.select(F.col("called").alias("board")), v.table(spark, sf, "conversations").select("text"))
+    return names.join(found.select(F.col("board").alias("called")), "called", "left_semi").select("board")
+
+
+def attribution(spark, sf, day_flow=None):
+    """Membership, flow and mentions come in once each; the result is stored, as profiles read it again."""
     mast = v.master(spark, sf).withColumn("last_submit", F.when(F.col("s_suppkey") % 2 == 0, F.lit("2024-01-02").cast("date")))
-    m = v.membership(spark, sf)
-    return sectors.attribution(m, mast, sectors.sector_strength(flow(spark, sf)[0]), m.filter("board LIKE '%2'").select("board"), "2024-01-02")
+    day_flow = materialise(flow(spark, sf)[0], "flow") if day_flow is None else day_flow
+    a = sectors.attribution(materialise(v.membership(spark, sf), "membership"), mast, sectors.sector_strength(day_flow), mentions(spark, sf), "2024-01-02")
+    return materialise(a, "attribution")
 
 
 @query("attribution", f"WITH {ATT} " + r6("SELECT symbol, board_type, board, mentioned, attribution_score, point_in_time, evidence_text, is_primary FROM att", "attribution_score"))
@@ -357,29 +396,38 @@ RSN = PROF + """, facts AS (SELECT board AS concept, CASE WHEN pct > 20 THEN '
    WHEN len(any_value(concepts)) > 0 THEN '概念已映射但同期行情未核验' ELSE '仅行业映射/概念未核验' END AS state FROM prof p LEFT JOIN facts f ON list_contains(p.concepts, f.concept) GROUP BY 1)"""
 
 
-def facts(spark, sf):
-    f = flow(spark, sf)[0].filter("period = 'now' AND board_type = '概念' AND board LIKE '%3'")
+def facts(day_flow):
+    f = day_flow.filter("period = 'now' AND board_type = '概念' AND board LIKE '%3'")
     return f.select(F.col("board").alias("concept"), F.lit("2024-01-02").cast("date").alias("trade_date"),
                     F.when(F.col("pct") > 20, "上涨加强").when(F.col("pct") < -20, "退潮走弱").otherwise("震荡分化").alias("state"))
 
 
 @query("resonance", f"WITH {RSN} SELECT symbol, n_facts, state FROM rs")
 def _(spark, sf):
-    return concepts.resonance(sectors.symbol_profile(attribution(spark, sf)), facts(spark, sf), "2024-01-02")
+    day = materialise(flow(spark, sf)[0], "flow")
+    return concepts.resonance(materialise(sectors.symbol_profile(attribution(spark, sf, day)), "profiles"), facts(day), "2024-01-02")
 
 
 @query("concept_coverage", f"WITH {RSN} SELECT count(*) AS stocks, count_if(n_facts > 0) AS covered, round(count_if(n_facts > 0)/count(*)*100, 2) AS coverage_pct FROM rs")
 def _(spark, sf):
-    return concepts.concept_coverage(sectors.symbol_profile(attribution(spark, sf)), facts(spark, sf))
+    day = materialise(flow(spark, sf)[0], "flow")
+    return concepts.concept_coverage(materialise(sectors.symbol_profile(attribution(spark, sf, day)), "profiles"), facts(day))
 
 
-@query("concept_match", """WITH w AS (SELECT p_partkey, lower(replace(p_name,' ','')) AS t, lower(split_part(trim(p_name),' ',1)) AS first FROM part) SELECT count(*) AS parts, count(DISTINCT first) AS catalog,
-  count(DISTINCT first) AS matched FROM w""")
+@query("concept_match", """WITH n AS (SELECT p_partkey AS ro, p_name AS wanted, string_split(p_name, ' ') AS ws FROM part),
+ t AS (SELECT ro, wanted, min(pos) AS pos, lower(term) AS term FROM (SELECT ro, wanted, unnest([replace(wanted, ' ', ''), ws[1], ws[2]]) AS term, unnest([0, 1, 2]) AS pos FROM n) WHERE term <> '' GROUP BY ALL),
+ cat AS (SELECT lower(replace(concept, ' ', '')) AS key, min(concept) AS concept FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS concept FROM part WHERE p_partkey % 3 > 0
+   UNION SELECT DISTINCT left(split_part(p_name, ' ', 2), 3) FROM part UNION SELECT DISTINCT concat(p_name, ' ', p_type) FROM part UNION SELECT DISTINCT right(p_brand, 1) FROM part) GROUP BY 1),
+ ex AS (SELECT ro, 0 AS kind, pos, wanted, concept FROM t JOIN cat ON term = key),
+ ne AS (SELECT ro, 1 AS kind, pos, wanted, arg_min(concept, (abs(length(key) - length(term)), length(key), key)) AS concept FROM t JOIN cat ON contains(key, term) OR contains(term, key)
+   WHERE term NOT IN (SELECT key FROM cat) AND length(term) >= 2 GROUP BY ro, pos, wanted, term),
+ f AS (SELECT concept, min((ro, kind, pos, wanted)) AS m FROM (SELECT * FROM ex UNION ALL SELECT * FROM ne) GROUP BY 1)
+ SELECT m[1] AS request_order, m[4] AS wanted, concept, CASE WHEN m[2] = 0 THEN 'exact' ELSE 'substring' END AS "match", CAST(m[3] AS INTEGER) AS pos FROM f""")
 def _(spark, sf):
-    p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("request_order"), F.col("p_name").alias("name"), F.split(F.trim("p_name"), " ")[0].alias("concept"))
-    m = concepts.match_concepts(p.select("request_order", "name"), p.select("concept").distinct())
-    return (p.agg(F.count(F.lit(1)).alias("parts"), F.countDistinct(F.lower("concept")).alias("catalog"))
-            .withColumn("matched", m.agg(F.countDistinct("concept").alias("matched")).scalar()))
+    p = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", F.split("p_name", " ").alias("ws"))
+    catalog = [p.filter("p_partkey % 3 > 0").select(F.col("ws")[0]), p.select(F.left(F.col("ws")[1], F.lit(3))), p.select(F.concat("p_name", F.lit(" "), "p_type")), p.select(F.right("p_brand", F.lit(1)))]
+    cat = catalog[0].union(catalog[1]).union(catalog[2]).union(catalog[3]).toDF("concept").distinct()
+    return concepts.match_concepts(p.select(F.col("p_partkey").alias("request_order"), F.col("p_name").alias("name")), cat)
 
 
 @query("mentioned_boards", "SELECT DISTINCT w AS board FROM (SELECT DISTINCT lower(split_part(trim(p_name),' ',1)) AS w FROM part) b WHERE EXISTS (SELECT 1 FROM conversations c WHERE contains(c.text, b.w))")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scale import running_sums, spread
+from barloom.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +54,7 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_extendedprice", (F.col("l_quantity").cast("long") * 100).alias("q"),
         F.round(10 + F.col("l_extendedprice") / F.col("l_quantity") / 20000, 2).alias("price"))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    b = running_sums(li, ["l_suppkey"], "dt", order, {"rn": F.lit(1)})
+    b = materialise(running_sums(li, ["l_suppkey"], "dt", order, {"rn": F.lit(1)}), "numbered-lines")
     # The quantity sold at position n is the one bought two positions earlier: a self equi-join on the position.
     prev = b.filter(F.col("rn") % 4 != 3).filter(F.col("rn") % 4 != 0).select(
         "l_suppkey", (F.col("rn") + 2).alias("rn"), F.col("q").alias("q2"))
@@ -76,9 +77,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "price", "qty", amount.alias("amount"), F.lit(0.0).alias("fee"), F.lit("").alias("note"))
 
 
-def recos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First bar of each symbol and month, stop two per cent under its low."""
-    b = bars(spark, sf_dir).select("symbol", "trade_date", "low", "close")
+def recos(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """First bar of each symbol and month, stop two per cent under its low. `of`: bars that are at hand already."""
+    b = (bars(spark, sf_dir) if of is None else of).select("symbol", "trade_date", "low", "close")
     first = (b.groupBy("symbol", F.date_trunc("month", F.col("trade_date")).alias("m"))
              .agg(F.min_by(F.struct("trade_date", "low", "close"), "trade_date").alias("r")))
     stop = F.round(F.col("r.low").cast("decimal(18,6)") * F.lit("0.98").cast("decimal(4,2)"), 2).cast("double")

@@ -94,7 +94,7 @@ def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str],
                                        for n in sums])
     inside = (W.partitionBy(*keys, chunk).orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    z = z.join(part, [*keys, chunk])
+    z = spread(z, *keys, chunk).join(part, [*keys, chunk])
     for n in sums:
         z = z.withColumn(n, F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)))
     return z.drop(*[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import first_match, norm_code, to_double
-from barloom.functions.scale import newest_row, running_sums
+from barloom.functions.scale import newest_row, running_sums, spread
 from barloom.session import materialise
 
 # Sides, states, defaults and header names.
@@ -119,42 +119,46 @@ def _level(df: DataFrame, keys: list[str], pos: list[str]) -> DataFrame:
     return g.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "d", "e", "up", "least")], *_SUMS, *_LATEST, "first_date")
 
 
-def fold(txns: DataFrame, block: int = 4096) -> DataFrame:
+def fold(txns: DataFrame, block: int = 4096, span: str = "month", day: str | None = None) -> DataFrame:
     """The ledger's one pass: everything that positions, cycles and lots need, per run of at most `block` transactions of one (account, symbol,
-    date) and cycle.
+    span) and cycle.
 
-    A run is a product of maps (see _compose), so a hot holder is never walked by one task: totals per date give the balance at the start of each
-    date, dates are worked on apart, and the runs, stored once, are put together level by level. No array holds more than `block`
-    entries, the last level's one entry per date and block of blocks. `cycle` numbers the openings (a buy from a flat balance) of an (account, symbol).
+    A run is a product of maps (see _compose), so a hot holder is never walked by one task: totals per span of the calendar give the balance at the start of
+    each span ("month", or "day" where a month of one holder is too much for a task), spans are worked on apart, and the runs, stored once, are put together
+    level by level. No array holds more than `block` entries, the last level's one entry per span and block of blocks. A cycle begins with an opening, a buy
+    from a flat balance. With `day`, buys of that day and later ones are not free to be sold.
     """
-    signed, day = signed_qty(), [*KEY, "trade_date"]
-    before_day = W.partitionBy(*KEY).orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1)
-    starts = (txns.groupBy(*day).agg(F.sum(signed).alias("_d"))
-              .select(*day, F.coalesce(F.sum("_d").over(before_day), F.lit(0)).alias("_start")))
-    inside = W.partitionBy(*day).orderBy(*ORDER[1:])
+    signed, part = signed_qty(), [*KEY, "span"]
+    txns = txns.withColumn("span", F.date_trunc(span, "trade_date").cast("date"))
+    earlier = W.partitionBy(*KEY).orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    starts = (txns.groupBy(*part).agg(F.sum(signed).alias("_d"))
+              .select(*part, F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_start")))
+    inside = W.partitionBy(*part).orderBy(*ORDER)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    z = txns.select(*day, *ORDER[1:], "side", "qty", "amount", "fee", "name").join(starts, day)
+    z = spread(txns.select(*part, *ORDER, "side", "qty", "amount", "fee", "name"), *part).join(starts, part)
     z = z.withColumns({"_run": F.sum(signed).over(upto), "_i": F.row_number().over(inside)})
     z = z.withColumns({"_after": F.col("_start") + F.col("_run"), "_before": F.col("_start") + F.col("_run") - signed})
     z = z.withColumn("_open", (is_buy() & (F.col("_before") == 0)).cast("int"))
     z = z.withColumns({"_cycle": F.sum("_open").over(upto), "_block": F.floor((F.col("_i") - 1) / block)})
     buy, sell, after = is_buy(), is_sell(), F.col("_after").cast("double")
-    paid = (F.col("amount") + F.col("fee"))
+    free = signed if day is None else F.when(buy & (F.col("trade_date") >= F.lit(day).cast("date")), 0).otherwise(signed)
+    paid = F.col("amount") + F.col("fee")
     share = lambda x: F.coalesce(F.try_divide(x, after), F.lit(0.0))
     cost_map = F.struct(F.struct("_i").alias("pos"), F.when(buy, share(F.col("_before").cast("double"))).otherwise(F.when(after == 0, 0.0).otherwise(1.0)).alias("a"),
                         F.when(buy, share(paid)).otherwise(0.0).alias("b"), F.when(buy, 0.0).otherwise(-F.col("qty").cast("double")).alias("d"),
-                        F.when(buy, 0.0).otherwise(F.col("amount") - F.col("fee")).alias("e"), signed.alias("up"), F.lit(0).cast("long").alias("least"))
+                        F.when(buy, 0.0).otherwise(F.col("amount") - F.col("fee")).alias("e"), free.alias("up"), F.lit(0).cast("long").alias("least"))
     amount, fee = F.col("amount").cast(MONEY), F.col("fee").cast(MONEY)
-    runs = z.groupBy(*day, "_cycle", "_block").agg(
+    runs = z.groupBy(*part, "_cycle", "_block").agg(
         F.collect_list(cost_map).alias("maps"), F.max("_open").alias("opening"), F.sum(signed).alias("q"),
         F.sum(F.when(buy, F.col("qty")).otherwise(0)).alias("buy_qty"), F.sum(F.when(sell, F.col("qty")).otherwise(0)).alias("sell_qty"),
         F.sum(F.when(buy, amount)).alias("buy_amount"), F.sum(F.when(sell, amount)).alias("sell_amount"),
         F.sum(F.when(buy, amount + fee)).alias("buy_cost"), F.sum(F.when(sell, amount - fee)).alias("sell_net"),
         F.max(F.when(sell, F.col("trade_date"))).alias("sell_date"), F.max(F.when(F.col("_open") == 1, F.col("trade_date"))).alias("opened"),
-        F.max(F.when(F.col("name") != "", F.struct(*ORDER, "name"))).alias("named"))
+        F.max(F.when(F.col("name") != "", F.struct(*ORDER, "name"))).alias("named"),
+        F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
     runs = runs.withColumn("m", _composed(F.col("maps")))
-    runs = runs.select(*day, "_cycle", "_block", "opening", *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "d", "e", "up", "least")],
-                       *_SUMS, F.col("trade_date").alias("first_date"), F.col("trade_date").alias("last_date"), "sell_date", "opened", "named")
+    runs = runs.select(*part, "_cycle", "_block", "opening", *[F.col(f"m.{c}").alias(c) for c in ("a", "b", "d", "e", "up", "least")],
+                       *_SUMS, "first_date", "last_date", "sell_date", "opened", "named")
     return materialise(runs, "ledger-fold")
 
 
@@ -162,35 +166,29 @@ def _name() -> Column:
     return F.coalesce(F.col("named.name"), F.lit("")).alias("name")
 
 
-def holdings(runs: DataFrame, block: int = 4096, day: str | None = None) -> DataFrame:
-    """One row per (account, symbol) of a fold: the position, and with `day` the start date and the quantity that can be sold on that day
-    (buys of the day itself are not free yet)."""
-    if day is not None:
-        free = F.col("trade_date") < F.lit(day).cast("date")
-        runs = runs.withColumns({"up": F.when(free, F.col("up")).otherwise(-F.col("sell_qty")), "least": F.when(free, F.col("least")).otherwise(0)})
-    dates = [*KEY, "trade_date"]
-    z = _level(runs, [*dates, "_block"], ["_cycle"])
-    z = _level(z.withColumn("_blocks", F.floor(F.col("_block") / block)), [*dates, "_blocks"], ["_block"])
-    z = _level(z, KEY, ["trade_date", "_blocks"])
+def holdings(runs: DataFrame, block: int = 4096) -> DataFrame:
+    """One row per (account, symbol) of a fold: the position, the date it was opened last, and the quantity that can be sold on the fold's day."""
+    spans = [*KEY, "span"]
+    z = _level(runs, [*spans, "_block"], ["_cycle"])
+    z = _level(z.withColumn("_blocks", F.floor(F.col("_block") / block)), [*spans, "_blocks"], ["_block"])
+    z = _level(z, KEY, ["span", "_blocks"])
     sold = F.coalesce(F.col("sell_amount").cast("double"), F.lit(0.0))
-    cols = [*KEY, _name(), F.col("q").alias("qty"), F.round("b", 4).alias("avg_cost"), F.col("buy_amount").cast("double").alias("buy_amount"),
-            sold.alias("sell_amount"), F.round("e", 2).alias("realised_pnl"), "last_date", F.when(F.col("q") > 0, OPEN).otherwise(CLOSED).alias("status")]
-    if day is not None:
-        cols += [F.col("opened").alias("start_date"), F.least(F.col("q"), F.greatest(F.col("up"), F.col("least"), F.lit(0))).alias("sellable")]
-    return z.select(*cols)
+    return z.select(*KEY, _name(), F.col("q").alias("qty"), F.round("b", 4).alias("avg_cost"), F.col("buy_amount").cast("double").alias("buy_amount"),
+                    sold.alias("sell_amount"), F.round("e", 2).alias("realised_pnl"), "last_date", F.when(F.col("q") > 0, OPEN).otherwise(CLOSED).alias("status"),
+                    F.col("opened").alias("start_date"), F.least(F.col("q"), F.greatest(F.col("up"), F.col("least"), F.lit(0))).alias("sellable"))
 
 
 def positions(txns: DataFrame, block: int = 4096) -> DataFrame:
     """Moving-average cost position per (account, symbol)."""
-    return holdings(fold(txns, block), block)
+    return holdings(fold(txns, block), block).drop("start_date", "sellable")
 
 
 def cycles(runs: DataFrame) -> DataFrame:
-    """From flat to flat: one row per cycle of a fold with dates, quantities, cost, net proceeds, result."""
-    days = [*KEY, "trade_date"]
-    earlier = W.partitionBy(*KEY).orderBy("trade_date").rowsBetween(W.unboundedPreceding, -1)
-    opened = (runs.groupBy(*days).agg(F.sum("opening").alias("_n")).select(*days, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past")))
-    c = (runs.join(opened, days).withColumn("cycle", F.col("_past") + F.col("_cycle")).groupBy(*KEY, "cycle")
+    """From flat to flat: one row per cycle of a fold with dates, quantities, cost, net proceeds, result. `cycle` numbers the openings of an (account, symbol)."""
+    spans = [*KEY, "span"]
+    earlier = W.partitionBy(*KEY).orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    opened = (runs.groupBy(*spans).agg(F.sum("opening").alias("_n")).select(*spans, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_past")))
+    c = (runs.join(opened, spans).withColumn("cycle", F.col("_past") + F.col("_cycle")).groupBy(*KEY, "cycle")
          .agg(*[F.sum(x).alias(x) for x in ("buy_qty", "sell_qty", "buy_cost", "sell_net")], F.min("first_date").alias("buy_date"),
               F.max("sell_date").alias("sell_date"), F.max("named").alias("named")))
     c = c.select(*KEY, "cycle", _name(), "buy_date", "sell_date", "buy_qty", "sell_qty", F.col("buy_cost").cast("double").alias("buy_cost"),
@@ -213,7 +211,7 @@ def active_symbols(pos: DataFrame) -> DataFrame:
 
 def active_lots(txns: DataFrame, day: str) -> DataFrame:
     """Open positions with start date and T+1 sellable quantity."""
-    return holdings(fold(txns), day=day).filter("qty > 0")
+    return holdings(fold(txns, day=day)).filter("qty > 0")
 
 
 def latest_stops(recos: DataFrame) -> DataFrame:

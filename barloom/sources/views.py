@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scale import running_sums, spread
-from barloom.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,14 +53,14 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey", "l_extendedprice", (F.col("l_quantity").cast("long") * 100).alias("q"),
         F.round(10 + F.col("l_extendedprice") / F.col("l_quantity") / 20000, 2).alias("price"))
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    b = materialise(running_sums(li, ["l_suppkey"], "dt", order, {"rn": F.lit(1)}), "numbered-lines")
-    # The quantity sold at position n is the one bought two positions earlier: a self equi-join on the position.
-    prev = b.filter(F.col("rn") % 4 != 3).filter(F.col("rn") % 4 != 0).select(
-        "l_suppkey", (F.col("rn") + 2).alias("rn"), F.col("q").alias("q2"))
+    li = li.withColumn("month", F.trunc("dt", "month"))
+    b = running_sums(li, ["l_suppkey"], "month", order, {"rn": F.lit(1)})
+    # The quantity sold at position n is the one bought two positions earlier, in the same group of four.
+    b = spread(b.withColumn("four", F.floor((F.col("rn") - 1) / 4)), "l_suppkey", "four")
+    four = W.partitionBy("l_suppkey", "four").orderBy("rn")
     buy = (F.col("rn") % 4).isin(1, 2)
-    return (b.join(prev, ["l_suppkey", "rn"], "left")
-            .select("l_suppkey", "dt", "rn", F.when(buy, "B").otherwise("S").alias("side"),
-                    F.when(buy, F.col("q")).otherwise(F.col("q2")).alias("qty"), "price"))
+    return b.select("l_suppkey", "dt", "rn", F.when(buy, "B").otherwise("S").alias("side"),
+                    F.when(buy, F.col("q")).otherwise(F.lag("q", 2).over(four)).alias("qty"), "price")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

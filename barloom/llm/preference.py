@@ -75,7 +75,8 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     instead of two joins by conversation. A null conv_id belongs to no pair."""
     t = turns.select(F.col("`conv_id`").alias("conv_id"), F.struct(F.col("`turn`").alias("turn"), _plain("role", "user").alias("role"),
                                                                     _plain("text", "").alias("text")).alias("t")).filter("conv_id is not null")
-    pair, odd = F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2))
+    # Whole-number arithmetic: a quotient by way of doubles would merge neighbours of ids beyond 2**53.
+    pair, odd = F.shiftright(F.col("conv_id").cast("long"), 1), F.pmod("conv_id", F.lit(2))
     return (t.groupBy(pair.alias("pair_id"))
             .agg(F.max(F.when(odd == 0, F.col("conv_id"))).alias("chosen_id"), F.max(F.when(odd == 1, F.col("conv_id"))).alias("rejected_id"),
                  F.sort_array(F.collect_set(F.when(odd == 0, F.col("t")))).alias("a"), F.sort_array(F.collect_set(F.when(odd == 1, F.col("t")))).alias("b")))

@@ -261,3 +261,12 @@ def test_pipeline(spark, docs):
     assert c.run(spark, SF).count() == kept.count()
     for _, stage in c.STAGES:
         stage(spark, docs.limit(0), SF).count()
+
+
+def test_neighbour_pairs_of_large_ids(spark):
+    """Ids beyond 2**53 keep to their own pair, below zero as well."""
+    from barloom.llm import preference
+    ids = [2 ** 53 + 2, 2 ** 53 + 3, 2 ** 53 + 4, 2 ** 53 + 5, -1, -2, 0, 1]
+    df = spark.createDataFrame([(i, 0, "user", f"t{i}") for i in ids], "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: (r.chosen_id, r.rejected_id) for r in preference.formatted(preference.neighbour_pairs(df)).collect()}
+    assert got == {i // 2: (i, i + 1) for i in ids if i % 2 == 0}

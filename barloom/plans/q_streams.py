@@ -34,9 +34,8 @@ def _(spark, sf):
 @query("stream_exit_alerts", f"""WITH {MIN}, b AS (SELECT * FROM mb {DONE}), x AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS pc FROM b)
   SELECT symbol, ts, close FROM x WHERE close < 10.3 AND pc < 10.3""")
 def _(spark, sf):
-    bars = streams.run_to_table(streams.stream_bars_5m(ticks(spark, sf)), "bars5m")
     stops = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("symbol"), F.lit(10.3).alias("stop")).distinct()
-    p = streams.run_to_table(streams.stream_exit_alerts(streams.read_ticks(spark, bars), stops), "alerts")
+    p = streams.run_to_table(streams.stream_exit_alerts(streams.stream_bars_5m(ticks(spark, sf)), stops), "alerts")
     return spark.read.parquet(p).select("symbol", "ts", "close")
 
 

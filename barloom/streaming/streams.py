@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from barloom.functions.scalars import BUSINESS_TZ, business_clock, flag
 from barloom.operators.market import breadth_counts
@@ -40,23 +40,65 @@ def stream_latest(ticks: DataFrame) -> DataFrame:
     return s.select("symbol", "r.ts", "r.event_id", "r.price", "r.volume")
 
 
-ALERT_SCHEMA = "symbol string, ts timestamp, close double, stop double"
-
-
-def _alerts(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("ts")
-    last = state.get[0] if state.exists else None
-    below_prev = rows["close"].shift(1)
-    below_prev.iloc[0] = last if last is not None else float("nan")
-    hit = (rows["close"] < rows["stop"]) & (below_prev < rows["stop"])
-    state.update((float(rows["close"].iloc[-1]),))
-    yield rows.loc[hit, ["symbol", "ts", "close", "stop"]]
-
-
-def stream_exit_alerts(bars5m: DataFrame, stops: DataFrame) -> DataFrame:
-    """An alert when two consecutive five-minute closes are under the stop. State: one close per symbol."""
-    j = bars5m.select("symbol", "ts", "close").join(stops.select("symbol", "stop"), "symbol")
-    return j.groupBy("symbol").applyInPandasWithState(_alerts, ALERT_SCHEMA, "close double", "append", GroupStateTimeout.NoTimeout)
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ExitAlerts(StatefulProcessor):
+    """Bars of a symbol wait in its state, by slot of time, until the watermark has passed their slot; then a timer flushes the slot in order of time.
+
+    Whatever order and amount bars come in, the rule sees them in order, and a task holds one Arrow batch and one slot. A bar that comes behind
+    bars already flushed is too late and is left out. Equal bars count once. Times are micros since the epoch, so no zone is in play.
+    """
+
+    def __init__(self, slot: int):
+        self.slot = slot
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slot long", "at array<long>, close array<double>, stop array<double>")
+        self.last = handle.getValueState("last", "at long, close double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()
+        for frame in rows:
+            frame = frame if last is None else frame[frame["at"] > last[0]]
+            for slot, part in frame.groupby(frame["at"] // self.slot):
+                new = [part[c].tolist() for c in ("at", "close", "stop")]
+                old = self.waiting.getValue((int(slot),))
+                self.waiting.updateValue((int(slot),), tuple(new if old is None else [[*a, *b] for a, b in zip(old, new)]))
+                self.handle.registerTimer((int(slot) + 1) * self.slot // 1000 - 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000 // self.slot - 1
+        waiting = self.waiting.getValue((slot,))
+        if waiting is None:
+            return
+        self.waiting.removeKey((slot,))
+        last, hits = self.last.get(), []
+        before = None if last is None else last[1]
+        for at, close, stop in sorted(set(zip(*waiting))):
+            if before is not None and close < stop and before < stop:
+                hits.append((key[0], at, close, stop))
+            before = close
+        self.last.update((at, before))
+        if hits:
+            yield pd.DataFrame(hits, columns=["symbol", "at", "close", "stop"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_exit_alerts(bars5m: DataFrame, stops: DataFrame, slot: str = "5 minutes") -> DataFrame:
+    """An alert when two consecutive five-minute closes are under the stop. bars5m: symbol, ts, close, a stream with a watermark, such as that of
+    `stream_bars_5m`, whose watermark is passed on, so that ticks become alerts in one query. A slot (whole milliseconds) is flushed once the watermark has
+    passed it; a state access costs some tenths of a millisecond, so a long history is caught up faster with a wider slot."""
+    bars5m.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    j = bars5m.filter(F.col("close").isNotNull()).join(stops.filter(F.col("stop").isNotNull()).select("symbol", "stop"), "symbol")
+    j = j.select("symbol", F.unix_micros("ts").alias("at"), "close", "stop")
+    micros = int(pd.Timedelta(slot).total_seconds() * 1000) * 1000
+    out = j.groupBy("symbol").transformWithStateInPandas(ExitAlerts(micros), "symbol string, at long, close double, stop double", "append", "eventTime")
+    return out.select("symbol", F.timestamp_micros("at").alias("ts"), "close", "stop")
 
 
 def stream_ingest(rows: DataFrame, name: str = "ingest", key: str = "txn_id") -> str:

@@ -39,12 +39,16 @@ def _(spark, sf):
     return spark.read.parquet(p).select("symbol", "ts", "close")
 
 
-@query("stream_ingest", "SELECT event_id, user_id FROM events")
+@query("stream_ingest", """SELECT event_id, user_id, 'stored' AS state FROM events WHERE event_id % 50 > 0 UNION ALL
+  SELECT event_id, user_id, '交易ID缺失' FROM events, range(2) WHERE event_id % 50 = 0""")
 def _(spark, sf):
     e = streams.read_ticks(spark, sf, "events.parquet").select("event_id", "user_id", "ts")
     twice = e.unionByName(streams.read_ticks(spark, sf, "events.parquet").select("event_id", "user_id", "ts"))
-    rows = twice.withColumn("txn_id", F.sha2(F.concat_ws("|", "event_id", "user_id", "ts"), 256))
-    return spark.read.parquet(streams.stream_ingest(rows)).select("event_id", "user_id")
+    rows = twice.withColumn("txn_id", F.when(F.col("event_id") % 50 > 0, F.sha2(F.concat_ws("|", "event_id", "user_id", "ts"), 256)))
+    path = streams.stream_ingest(rows)
+    rejects = spark.read.parquet(path.removesuffix("table") + "rejects")
+    return (spark.read.parquet(path).select("event_id", "user_id", F.lit("stored").alias("state"))
+            .unionByName(rejects.select("event_id", "user_id", F.col("reject_reason").alias("state"))))
 
 
 @query("stream_late_data", "SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%H:%M') BETWEEN '14:32' AND '14:55' AS on_time FROM events")

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from barloom.functions.scalars import BUSINESS_TZ, business_clock, flag
 from barloom.operators.market import breadth_counts
-from barloom.session import shared_dir
+from barloom.session import materialise, shared_dir
+
+# Reason of a reject.
+NO_KEY = "交易ID缺失"
 
 
 def read_ticks(spark: SparkSession, folder: str, name: str = "*.parquet") -> DataFrame:
@@ -101,17 +107,68 @@ def stream_exit_alerts(bars5m: DataFrame, stops: DataFrame, slot: str = "5 minut
     return out.select("symbol", F.timestamp_micros("at").alias("ts"), "close", "stop")
 
 
-def stream_ingest(rows: DataFrame, name: str = "ingest", key: str = "txn_id") -> str:
-    """Append each content id once to a stored ledger; returns its path. A batch keeps the ids that no earlier batch has stored, however late they come, and
-    writes them under its own number, so that a batch run again after a failure replaces what it wrote."""
+class BucketStore:
+    """A stored table in buckets by hash of its keys. A batch reads and writes the buckets it touches and no others.
+
+    A bucket has two slots. Each holds a whole version of the bucket and the number of the batch that wrote it; a batch reads the newer slot among
+    earlier batches' and writes the other one. So files do not pile up, and a batch that runs again after a failure, even halfway through its
+    write, finds what it found the first time. Null keys are values like others.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        empty = spark.createDataFrame([], schema).withColumns({"_batch": F.lit(-1).cast("long"), "_bucket": F.lit(0), "_slot": F.lit(0)})
+        empty.write.mode("ignore").partitionBy("_bucket", "_slot").parquet(path)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def versions(self, buckets: list[int] | None = None) -> DataFrame:
+        """Both slots of the given buckets (all, if none are given); only their folders are read."""
+        full = StructType([*self.schema.fields, StructField("_batch", LongType()), StructField("_bucket", IntegerType()), StructField("_slot", IntegerType())])
+        stored = self.spark.read.schema(full).parquet(self.path)
+        return stored if buckets is None else stored.filter(F.col("_bucket").isin(buckets))
+
+    def latest(self, before: int, buckets: list[int] | None = None) -> DataFrame:
+        """Rows with _bucket and _slot as the batches before `before` left them."""
+        rows = self.versions(buckets).filter(F.col("_batch") < before)
+        newest = rows.groupBy("_bucket").agg(F.max(F.struct("_batch", "_slot")).alias("_n")).select("_bucket", F.col("_n._batch").alias("_batch"))
+        return rows.join(newest, ["_bucket", "_batch"], "left_semi").drop("_batch")
+
+    def upsert(self, batch: DataFrame, number: int) -> None:
+        """Replaces the rows with the batch's keys, which come up once in it, and keeps the others."""
+        new = materialise(batch.withColumn("_bucket", self.bucket()), "upsert")
+        touched = [b for (b,) in new.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:
+            return
+        old = self.latest(number, touched)
+        slots = old.groupBy("_bucket").agg(F.max("_slot").alias("_old"))
+        same = [old[k].eqNullSafe(new[k]) for k in self.keys]
+        kept = old.join(new.select(*self.keys), reduce(and_, same), "left_anti").drop("_slot")
+        rows = kept.unionByName(new).join(slots, "_bucket", "left").withColumns({"_batch": F.lit(number).cast("long"), "_slot": 1 - F.coalesce("_old", F.lit(1))})
+        rows = materialise(rows.drop("_old"), "upsert").repartition("_bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_slot").parquet(self.path)
+
+
+def stream_ingest(rows: DataFrame, name: str = "ingest", key: str = "txn_id", buckets: int = 64) -> str:
+    """Append each content id once to a stored ledger; returns its path. Rows without an id go to a table of rejects beside it, with the reason.
+
+    A batch keeps the ids that no earlier batch has stored, however late they come. Stored ids lie in buckets by their hash (BucketStore), so a batch
+    reads two files at most per bucket it touches, however many batches there were. It writes its rows under its own number, so that a batch run
+    again after a failure replaces what it wrote."""
     spark = rows.sparkSession
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     spark.createDataFrame([], rows.schema).write.parquet(f"{root}/table/batch=-1")
+    spark.createDataFrame([], rows.schema).withColumn("reject_reason", F.lit("")).write.parquet(f"{root}/rejects/batch=-1")
+    ids = BucketStore(spark, f"{root}/ids", StructType([rows.schema[key]]), (key,), buckets)
 
     def step(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.parquet(f"{root}/table").filter((F.col("batch") < number) & F.col(key).isNotNull())
-        new = batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(*batch.columns)
+        batch.filter(F.col(key).isNull()).withColumn("reject_reason", F.lit(NO_KEY)).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
+        given = materialise(batch.filter(F.col(key).isNotNull()).dropDuplicates([key]), "ingest-batch")
+        touched = [b for (b,) in given.select(ids.bucket()).distinct().collect()]
+        new = given.join(ids.latest(number, touched).select(key), key, "left_anti").select(*batch.columns)
         new.write.mode("overwrite").parquet(f"{root}/table/batch={number}")
+        ids.upsert(given.select(key), number)
 
     rows.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return f"{root}/table"
@@ -126,23 +183,25 @@ def late_data_rule(rows: DataFrame, start: str, end: str, ts: str = "ts", tz: st
 def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> str:
     """Drain the available input into a parquet table in the shared folder; returns its path.
 
-    A complete result replaces the table. An update result replaces the rows with its keys and leaves the others; every batch writes a table of its own from the one before, so a
-    batch run again gives the same."""
+    A complete result replaces the table. An update result replaces the rows with its keys, bucket by bucket (BucketStore), and what they come to is written
+    out once the input is drained."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         w.format("parquet").option("path", f"{root}/table").start().awaitTermination()
         return f"{root}/table"
-    if mode == "update" and not keys:
-        raise ValueError("update mode needs the keys of its rows")
+    if mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the keys of its rows")
+        store = BucketStore(spark, f"{root}/buckets", df.schema, keys)
+        w.foreachBatch(store.upsert).start().awaitTermination()
+        store.latest(1 << 62).select(*df.columns).write.parquet(f"{root}/table")
+        return f"{root}/table"
     spark.createDataFrame([], df.schema).write.parquet(f"{root}/table--1")
     last = [-1]
 
     def step(batch: DataFrame, number: int) -> None:
-        if mode == "update":
-            before = batch.sparkSession.read.parquet(f"{root}/table-{number - 1}")
-            batch = batch.unionByName(before.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns))
         batch.write.mode("overwrite").parquet(f"{root}/table-{number}")
         last[0] = number
 

@@ -46,3 +46,34 @@ def test_alerts_of_history_late_and_equal_bars(spark, tmp_path, zone, slot):
     want = plain_alerts(bars + later, {"a": 10.0, "b": 9.9})
     assert sorted((r.symbol, r.t, r.close) for r in got) == [(s, int(t.replace(tzinfo=dt.timezone.utc).timestamp()), c) for s, t, c in want]
     assert len(want) > 10
+
+
+def test_ingest_rejects_rows_without_id_and_reads_touched_buckets(spark, tmp_path):
+    schema = "txn_id string, qty long"
+    for n, rows in enumerate(([("a", 1), ("b", 2), (None, 3), (None, 4)], [("c", 5), ("a", 6)], [("b", 7), (None, 8), ("d", 9)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*"))
+    path = streams.stream_ingest(src)
+    assert sorted((r.txn_id, r.qty) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 5), ("d", 9)]
+    rejects = spark.read.parquet(path.removesuffix("table") + "rejects").collect()
+    assert sorted(r.qty for r in rejects) == [3, 4, 8] and {r.reject_reason for r in rejects} == {streams.NO_KEY}
+
+
+def test_bucket_store(spark, tmp_path):
+    """Versions alternate between two slots, a batch that runs again gives the same, untouched buckets are left alone."""
+    schema = spark.createDataFrame([], "k string, v long").schema
+    store = streams.BucketStore(spark, str(tmp_path / "s"), schema, ("k",), 4)
+    state = {}
+    for n in range(6):
+        rows = [(f"k{(n * 7 + i) % 11}", n * 100 + i) for i in range(5)] + ([(None, n)] if n % 2 else [])
+        state |= dict(rows)
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(2 if n in (2, 5) else 1):
+            store.upsert(batch, n)
+        assert {r.k: r.v for r in store.latest(1 << 62).collect()} == state
+    files = [f for f in (tmp_path / "s").rglob("*.parquet") if f.stat().st_size]
+    assert len(files) <= 2 * 4 + 2
+    before = {f: f.stat().st_mtime_ns for f in files}
+    store.upsert(spark.createDataFrame([("k0", -1)], schema), 7)
+    gone = {f.parent.parent.name for f in before if not f.exists()}
+    assert len(gone) <= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.digest import ordered_digests
 from barloom.functions.scalars import col, first_match, flag, is_st, name_key, norm_code
 from barloom.functions.scale import newest_row, with_scalars
 
@@ -121,10 +122,11 @@ def mark_stage(registry: DataFrame, p1: DataFrame, p2: DataFrame) -> DataFrame:
 
 
 def batch_identity(pool: DataFrame, day: str) -> DataFrame:
-    """yyyymmdd_ + 16 hex of SHA-256 over the sorted distinct codes. A batch is a day's hand submission, tens of codes."""
-    codes = F.array_join(F.sort_array(F.collect_set(norm_code("symbol"))), "\n")
-    return pool.agg(F.concat(F.lit(day.replace("-", "")), F.lit("_"), F.substring(F.sha2(codes, 256), 1, 16)).alias("batch_id"),
-                    F.countDistinct(norm_code("symbol")).alias("n"))
+    """yyyymmdd_ + 16 hex of SHA-256 over the sorted distinct codes, one a line."""
+    codes = pool.select(norm_code("symbol").alias("code")).distinct()
+    digest = ordered_digests(codes, [], F.col("code"), F.col("code"), "\n").select("digest").scalar()
+    return codes.agg(F.count("code").alias("n")).select(
+        F.concat(F.lit(day.replace("-", "")), F.lit("_"), F.substring(F.coalesce(digest, F.sha2(F.lit(""), 256)), 1, 16)).alias("batch_id"), "n")
 
 
 def reconcile_snapshot(upload: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -35,9 +35,15 @@ def _(spark, sf):
 
 @query("pool_files", f"WITH {MAST} SELECT symbol, name FROM mast")
 def _(spark, sf):
+    """Lists as exports write them, one kind per remainder of the supplier's key: plain, lines ended by CR, UTF-16 without a mark, quoted separators."""
     root = f"{shared_dir(spark)}/poolfiles-{__import__('uuid').uuid4().hex}"
-    sinks.write_table(v.master(spark, sf).select(F.col("symbol").alias("代 码"), F.col("name").alias("股票名称")), root, fmt="csv")
-    return ingest.read_pool_files(spark, [root])
+    m = v.master(spark, sf).select((F.col("s_suppkey") % 4).alias("kind"), F.col("symbol").alias("代 码"), F.col("name").alias("股票名称"))
+    for kind, options in enumerate(({}, {"lineSep": "\r", "sep": "\t"}, {"encoding": "UTF-16LE", "lineSep": "\n", "sep": ";"}, {"quoteAll": "true"})):
+        rows = m.filter(F.col("kind") == kind).drop("kind")
+        if kind == 3:
+            rows = rows.withColumn("备注, 说明", F.concat(F.lit('a, "b"'), "代 码"))
+        sinks.write_table(rows, f"{root}/kind={kind}", fmt="csv", options=options)
+    return ingest.read_pool_files(spark, [f"{root}/kind=*"])
 
 
 @query("pool_text", f"WITH {MAST} SELECT symbol, name FROM mast UNION ALL SELECT '000001', '甲' UNION ALL SELECT '345678', '乙'")

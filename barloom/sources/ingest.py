@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,43 +57,54 @@ def rename_by_alias(df: DataFrame, aliases: dict[str, list[str]], keep_extra: bo
     return df.select(*cols, *extra)
 
 
-def decoded_file(raw: bytes) -> str:
-    """Text of a whole file: UTF-16 by its byte-order mark, else UTF-8 if all of it is valid, else GB18030."""
+def encodings(raw: bytes) -> list[str]:
+    """Encodings a file may have, most likely first: UTF-16 by its mark, or by a zero byte in at least three of the first four letters; UTF-8; GB18030."""
+    odd, even = raw[1:8:2].count(0), raw[0:8:2].count(0)
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16")
-    try:
-        return raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return raw.decode("gb18030")
+        return ["utf-16"]
+    wide = ["utf-16-le"] if len(raw) >= 8 and odd >= 3 else ["utf-16-be"] if len(raw) >= 8 and even >= 3 else []
+    return [*wide, "utf-8-sig", "gb18030", *(["utf-16-le", "utf-16-be"] if not wide else [])]
+
+
+def pool_rows(raw: bytes) -> list[tuple[str | None, str | None]]:
+    """(code, name) texts of a delimited file. The first encoding that decodes all of it to a table with a code or name header counts; a stray last byte
+    of UTF-16 is let go. Lines end with CR, LF or both; separators and line ends inside quotes belong to their field; the separator is the one
+    that the header has most often."""
+    for encoding in encodings(raw):
+        try:
+            text = raw[:len(raw) - len(raw) % 2 if encoding.startswith("utf-16") else None].decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("\n\ufeff")
+        head = text.split("\n", 1)[0]
+        for sep in sorted(SEPARATORS, key=head.count, reverse=True):
+            rows = csv.reader(io.StringIO(text), delimiter=sep)
+            columns = next(rows, [])
+            code, name = resolve_header(columns, CODE_NAMES), resolve_header(columns, NAME_NAMES)
+            if "\0" in head or not (code or name):
+                continue
+            at = [columns.index(c) if c else len(columns) for c in (code, name)]
+            return [tuple(r[i] if i < len(r) and i < len(columns) else None for i in at) for r in rows if any(x.strip() for x in r)]
+    raise ValueError(f"no code or name header in {raw[:80]!r}")
 
 
 def read_pool_files(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> DataFrame:
-    """Delimited symbol lists, each file in its own encoding, separator and header: the given files' first lines are looked at, the rest is read by groups of
-    like files. A row without a code takes the code of its name, if `names` (symbol, name) has that name once. Rows without a valid code go; of a code's rows
-    the first stays."""
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(decoded_file)
-
-    files = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path", F.split(decoded("content"), "\r?\n").alias("lines"))
-    shapes: dict[str, tuple] = {}
-    for line in {r["line"] for r in files.select(F.get("lines", F.lit(0)).alias("line")).collect()}:
-        fits = [p for p in sorted(SEPARATORS, key=line.count, reverse=True)
-                if resolve_header(line.split(p), CODE_NAMES) or resolve_header(line.split(p), NAME_NAMES)]
-        if not fits:
-            raise ValueError(f"no code or name header in {line[:200]!r}")
-        shapes[line] = fits[0]
-    out = None
-    for line, sep in sorted(shapes.items()):
-        columns = [c.strip('"') for c in line.split(sep)]
-        rows = files.filter(F.get("lines", F.lit(0)) == line).select("path", F.posexplode("lines").alias("at", "line")).filter("at > 0 and trim(line) <> ''")
-        fields = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(columns)))), {"sep": sep})
-        df = rows.select(F.struct("path", "at").alias("_at"), fields.alias("f")).select("f.*", "_at").toDF(*columns, "_at")
-        z = rename_by_alias(df, {"symbol": CODE_NAMES, "name": NAME_NAMES, "_at": ["_at"]})
-        z = z.select(norm_code("symbol").alias("symbol"), F.trim("name").alias("name"), "_at")
-        out = z if out is None else out.unionByName(z)
-    if out is None:
-        return spark.createDataFrame([], "symbol string, name string")
+    """Delimited symbol lists, each file in its own encoding, line ends, separator and header. Spark reads the files, from any store that it can read, and each is
+    taken apart in the task that holds it; a file that is no such list is an error, never an empty result. A row without a code takes the code
+    of its name, if `names` (symbol, name) has that name once. Rows without a valid code go; of a code's rows the first stays."""
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"]):
+                try:
+                    rows = pool_rows(content.as_py())
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from None
+                columns = [[path] * len(rows), range(len(rows)), [r[0] for r in rows], [r[1] for r in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "at", "code", "name"])
+
+    files = spark.read.format("binaryFile").load(paths).filter("length > 0").select("path", "content")
+    rows = files.mapInArrow(parse, "path string, at long, code string, name string")
+    out = rows.select(norm_code("code").alias("symbol"), F.trim("name").alias("name"), F.struct("path", "at").alias("_at"))
     if names is not None:
         known = names.groupBy(name_key("name").alias("_n")).agg(F.min("symbol").alias("_s"), F.countDistinct("symbol").alias("_c")).filter("_c = 1")
         out = out.withColumn("_n", name_key("name")).join(known, "_n", "left").withColumn("symbol", F.coalesce(F.nullif("symbol", F.lit("")), "_s"))

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import Memo
 from barloom.llm.pretokens import byte_letters, lowered, word_pieces
 
 INF = float("inf")
@@ -34,7 +35,7 @@ END = 0x4000
 class Backtracking:
     """Encoder and decoder for one vocabulary file with byte-level BPE and a word-end mark."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 24_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -43,11 +44,9 @@ class Backtracking:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.signs = byte_letters()
-        self.memo = memo
         self._merges(model["merges"])
         self._offsets(spec)
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words, self.pairs = Memo(memo), Memo(memo)
 
     def _merges(self, merges: list) -> None:
         ids = self.ids
@@ -93,9 +92,7 @@ class Backtracking:
     def compatible(self, a: int, b: int) -> bool:
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) >= self.memo:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._fit(a, b)
+            got = self.pairs.keep((a, b), self._fit(a, b), 200)
         return got
 
     def encode_word(self, word: str) -> list[int]:
@@ -143,12 +140,15 @@ class Backtracking:
         """Count, ids as text, and decoded text of a word."""
         got = self.words.get(w)
         if got is None:
-            if len(self.words) >= self.memo:
-                self.words.clear()
             ids = self.encode_word(w)
-            got = self.words[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            got = self.words.keep(w, (len(ids), " ".join(map(str, ids)), self.decode(ids)), 350 + 8 * len(w) + 8 * len(ids))
         return got
 
+    def forget(self) -> None:
+        """Memos are a task's own; the tables stay with the worker."""
+        self.words.empty()
+        self.pairs.empty()
+
     def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
         for part in self.split_special(text) if self.split_special else [text]:
             if part in self.special:
@@ -179,6 +179,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
         enc = loaded(path)
         for s in texts:
             yield pd.Series([enc.encode(t) if t else [] for t in s])
+        enc.forget()
 
     return docs.withColumn("ids", ids(F.col("`text`")))
 
@@ -206,5 +207,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 got = list(enc.pieces(t)) if t else []
                 rows.append((sum(x[0] for x in got), sha(" ".join([x[1] for x in got])), sha(" ".join([x[2] for x in got]))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.forget()
 
     return docs.withColumn("__d", run(F.col("`text`"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__d.*")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import only
+from barloom.llm.common import Memo, only
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6, 7)
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, models: int = 3, max_positive: int
     return {f: w for f, w in weights.items() if f is not None}, weights.get(None, 0.0)
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, cached_words: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, cache_bytes: int = 24_000_000) -> DataFrame:
     """docs with a column `score`: the averaged classifier's probability. Other columns pass through."""
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
@@ -147,13 +147,12 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, cached_
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = sent.value
-        known: dict[str, tuple[str, ...]] = {}
+        own = {f: f for f in weights}
+        known = Memo(cache_bytes)
 
         def hits(word: str) -> tuple[str, ...]:
-            if len(known) >= cached_words:
-                known.clear()
-            known[word] = found = tuple(f for f in word_features(word) if f in weights)
-            return found
+            # A feature's text belongs to the weights, a tuple only points at it.
+            return known.keep(word, tuple(own[f] for f in word_features(word) if f in weights), 250 + 2 * len(word))
 
         def one(text: str | None) -> float:
             if text is None:

@@ -132,3 +132,21 @@ def epoch_to_ts(c) -> Column:
 def strip_units(c) -> Column:
     """Numbers written with thousands separators, percent signs or Chinese magnitude suffixes."""
     return to_double(F.regexp_replace(F.trim(col(c).cast("string")), "[,，%亿万\\s]", ""))
+
+
+def json_object_text(c) -> Column:
+    """The JSON object in a written answer: the text itself, without a code fence, or what stands between its first and last brace; null if neither is an
+    object."""
+    blanks = F.lit(" \t\n\x0b\f\r")
+    t = F.btrim(F.coalesce(col(c), F.lit("")), blanks)
+    bare = F.btrim(F.btrim(t, F.lit("`")), blanks)
+    bare = F.when(F.lower(F.substring(bare, 1, 4)) == "json", F.btrim(F.substring(bare, F.lit(5), F.length(bare)), blanks)).otherwise(bare)
+    t = F.when(F.startswith(t, F.lit("```")), bare).otherwise(t)
+    first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    inner = F.when((first > 0) & (last > first), F.substring(t, first, last - first + 1))
+
+    def whole(x: Column) -> Column:
+        """x if all of it is one object. The parser stops behind a value, so the value is put between two keys that both have to be found."""
+        around = F.json_object_keys(F.concat(F.lit('{"x":'), x, F.lit(',"end":1}')))
+        return F.when(F.json_object_keys(x).isNotNull() & (around == F.array(F.lit("x"), F.lit("end"))), x)
+    return F.coalesce(whole(t), whole(inner))

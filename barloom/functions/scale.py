@@ -6,6 +6,8 @@ taken per salt before it is taken per key, and running totals are taken per (key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,6 +79,13 @@ def newest_row(df: DataFrame, keys: list[str], order: list[Column], newest: bool
     return z.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
+def chosen_rows(df: DataFrame, light: list[str], choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Whole rows picked by a rule over few columns. `choose` gets these columns and `_row`, and returns the rows it keeps; wide columns are stored once and
+    meet the choice in one semi-join, instead of passing through the rule's aggregations."""
+    numbered = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "chosen-from")
+    return numbered.join(choose(numbered.select(*light, "_row")).select("_row"), "_row", "left_semi").drop("_row")
+
+
 def running_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str],
                  sums: dict[str, Column]) -> DataFrame:
     """Exact running totals over (keys ordered by chunk, order), split by chunk.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,13 +19,19 @@ TIME_PROPERTY = "article:published_time"
 
 
 class _Page(HTMLParser):
-    """Collects the title, the text of every article-like block with whatever is nested in it, the whole text, and stated times."""
+    """Collects the title, the text of article-like blocks, the whole text, and stated times, in time linear in the page.
+
+    A block inside another one is never longer than it, and only the longest block is wanted, so text goes to the outermost block alone.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, list[str] | None, bool]] = []
+        self.names: Counter = Counter()
         self.heads: dict[str, list[list[str]]] = {"h1": [], "title": []}
+        self.titles: list[list[str]] = []
         self.blocks: list[list[str]] = []
+        self.block: list[str] | None = None
         self.everything: list[str] = []
         self.times: list[tuple[int, str]] = []
         self.skipping = 0
@@ -39,27 +46,40 @@ class _Page(HTMLParser):
         if tag in EMPTY:
             return
         into = None
-        if not self.skipping and (tag in self.heads or tag == "article" or any(m in a.get("class", "") for m in BLOCK_MARKS)):
+        if not self.skipping and tag in self.heads:
             into = []
-            (self.heads[tag] if tag in self.heads else self.blocks).append(into)
+            self.heads[tag].append(into)
+            self.titles.append(into)
+        elif not self.skipping and self.block is None and (tag == "article" or any(m in a.get("class", "") for m in BLOCK_MARKS)):
+            into = self.block = []
+            self.blocks.append(into)
         skips = tag in SKIPPED
         self.skipping += skips
         self.open.append((tag, into, skips))
+        self.names[tag] += 1
 
     def handle_endtag(self, tag):
         # An end without its beginning says nothing; what was left open inside an element ends with it.
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
-            self.skipping -= sum(s for _, _, s in self.open[at:])
-            del self.open[at:]
+        if not self.names[tag]:
+            return
+        name = None
+        while name != tag:
+            name, into, skips = self.open.pop()
+            self.names[name] -= 1
+            self.skipping -= skips
+            if into is not None and into is self.block:
+                self.block = None
+            elif into is not None:
+                self.titles.pop()
 
     def handle_data(self, data):
         text = data.strip()
         if text and not self.skipping:
             self.everything.append(text)
-            for _, into, _ in self.open:
-                if into is not None:
-                    into.append(text)
+            if self.block is not None:
+                self.block.append(text)
+            for into in self.titles:
+                into.append(text)
 
 
 def parsed(html: str | None) -> tuple[str, list[str], str, list[str]]:

@@ -33,10 +33,14 @@ def funnel(bars: DataFrame, registry: DataFrame | None = None, rules: RuleSet =
     return out
 
 
+def without_history(bars: DataFrame, active: DataFrame) -> DataFrame:
+    """Active symbols that have no bar."""
+    return active.select("symbol").join(bars.select("symbol"), "symbol", "left_anti")
+
+
 def revision_replay(bars: DataFrame, active: DataFrame, depth: int = 260, **kw) -> tuple[dict[str, DataFrame], DataFrame]:
     """Recompute the stages from stored history only; second result lists active symbols without history."""
-    missing = active.select("symbol").join(bars.select("symbol"), "symbol", "left_anti")
-    return funnel(bars, active, depth=depth, **kw), missing
+    return funnel(bars, active, depth=depth, **kw), without_history(bars, active)
 
 
 def funnel_counts(stages: dict[str, DataFrame]) -> DataFrame:

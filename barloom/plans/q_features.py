@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.operators.evidence import breakout_evidence, limit_up_evidence, metrics_panel
 from barloom.operators.features import features, features_asof, features_for_registry
 from barloom.operators import screen
-from barloom.plans.catalog import BARS, BREAK, LIMIT, RAW, feature_sql, query, r6
-from barloom.plans.funnel import funnel, funnel_counts, revision_replay
+from barloom.plans.catalog import BARS, BREAK, LIMIT, RAW, SYM, feature_sql, query, r6
+from barloom.plans.funnel import funnel, funnel_counts, revision_replay, without_history
+from barloom.session import materialise
 from barloom.sources import views as v
 
 FEAT = f"WITH {BARS}, {feature_sql(250)} "
@@ -267,3 +270,36 @@ def _(spark, sf):
 def _(spark, sf):
     return screen.stage2(metrics_panel(v.raw_bars(spark, sf), 120), rules=screen.V4).select(
         "symbol", "trade_date", "stage2_score", "stage_rank", "selected")
+
+
+S1V4 = f"""{_b('ret20 >= 0')}*2 + {_b('ma20_dist >= 0')}*2 + {_b('amp5 <= 0.18')} + {_b('ret10 <= 0.20')} + {_b('ret10 >= -0.12')} + {_b('robust_upper5_dist BETWEEN -0.10 AND 0.06')}"""
+S2V4 = f"""{_b('amp5 <= 0.18 AND ret10 <= 0.20')}*3 + {_b('ret40 >= 0')}*3 + {_b('ma20_dist > 0 AND ma30_slope5 > 0')} + CASE WHEN robust_upper5_dist BETWEEN -0.02 AND 0.03 THEN 4
+  WHEN robust_upper5_dist BETWEEN -0.05 AND 0.05 THEN 2 ELSE 0 END + {_b('ret1 BETWEEN 0.02 AND 0.06')}"""
+OK2V4 = "coalesce(amp5 <= 0.18 AND ret10 <= 0.20 AND ret40 >= 0, false)"
+
+
+@query("stage3_v4", f"WITH {panel_sql(250)}, s2 AS (SELECT *, {S2V4} AS stage2_score FROM pan), {s3_sql('s2')}, g AS (SELECT *, stage3_score AS sc, stage3_pass AS ok FROM s3), "
+       + v4_sql(3, 10).replace("SELECT symbol, trade_date, sc AS stage3_score", "SELECT symbol, trade_date, lifecycle, round(sc, 6) + 0.0 AS stage3_score"))
+def _(spark, sf):
+    x = screen.stage2_score(metrics_panel(v.raw_bars(spark, sf), 250), screen.V4)
+    return screen.stage3(materialise(x, "stage2-v4"), max_n=10, rules=screen.V4).select("symbol", "trade_date", "lifecycle", "stage3_score", "stage_rank", "selected")
+
+
+def _cap(n: int, src: str, score: str, ok: str, cap: int) -> str:
+    """Rows of `src` that pass and are among the first `cap` of their date."""
+    return f"""e{n} AS (SELECT *, {score} AS stage{n}_score, {ok} AS ok{n} FROM {src}),
+ p{n} AS (SELECT * EXCLUDE (pos{n}) FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, ok{n} ORDER BY stage{n}_score DESC, symbol) AS pos{n} FROM e{n}) WHERE ok{n} AND pos{n} <= {cap})"""
+
+
+@query("funnel_v4", f"WITH {panel_sql(250)}, {_cap(1, 'pan', S1V4, 'coalesce(latest_close > 0, false)', 60)}, {_cap(2, 'p1', S2V4, OK2V4, 30)}, {s3_sql('p2')}, g AS (SELECT *, stage3_score AS sc, stage3_pass AS ok FROM s3), "
+       + v4_sql(3, 10).replace("SELECT symbol, trade_date, sc AS stage3_score", "SELECT symbol, trade_date, stage1_score, stage2_score, lifecycle, round(sc, 6) + 0.0 AS stage3_score"))
+def _(spark, sf):
+    rules = replace(screen.V4, caps=(60, 30, 10))
+    return funnel(v.raw_bars(spark, sf), rules=rules)["audit3"].select("symbol", "trade_date", "stage1_score", "stage2_score", "lifecycle", "stage3_score", "stage_rank", "selected")
+
+
+@query("revision_missing", f"WITH {BARS} SELECT concat({SYM.replace('l_suppkey', 's_suppkey')}, 'X') AS symbol FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT {SYM.replace('l_suppkey', 's_suppkey')} FROM supplier WHERE {SYM.replace('l_suppkey', 's_suppkey')} NOT IN (SELECT symbol FROM bars)")
+def _(spark, sf):
+    m = v.master(spark, sf)
+    active = m.select("symbol").unionByName(m.filter("s_suppkey % 10 = 0").select(F.concat("symbol", F.lit("X")).alias("symbol")))
+    return without_history(v.raw_bars(spark, sf), active)

@@ -58,13 +58,14 @@ def _(spark, sf):
     return ledger.balances(_ledger(spark, sf)).select("account", "symbol", "txn_id", "balance")
 
 
-@query("ledger_append", f"""WITH {LED} SELECT account, symbol, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty,
-  0::BIGINT AS oversold FROM led GROUP BY 1, 2""")
-def _(spark, sf):
-    t = _ledger(spark, sf)
-    old = t.filter(F.year("trade_date") < 1996)
-    new = t.filter(F.year("trade_date") >= 1995)
-    led, bad = ledger.append_transactions(old, new)
+@query("ledger_append", f"""WITH {LED}, kept AS (SELECT * FROM led WHERE NOT (account = 'A1' AND right(symbol, 1) = '2' AND side = 'B' AND rn % 8 = 1)),
+  run AS (SELECT *, sum(CASE WHEN side = 'B' THEN qty ELSE -qty END) OVER (PARTITION BY account, symbol ORDER BY rn) AS b FROM kept)
+  SELECT account, symbol, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty, count_if(b < 0) AS oversold FROM run GROUP BY 1, 2""")
+def _(spark, sf):
+    """Two batches that overlap by a year, with buys missing in some holders."""
+    gone = (F.col("account") == "A1") & F.col("symbol").endswith("2") & (F.col("side") == "B") & (F.col("entered_at").cast("long") % 8 == 1)
+    t = _ledger(spark, sf).filter(~gone)
+    led, bad = ledger.append_transactions(t.filter(F.year("trade_date") < 1996), t.filter(F.year("trade_date") >= 1995))
     n = bad.groupBy("account", "symbol").agg(F.count(F.lit(1)).alias("oversold"))
     return (led.groupBy("account", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
             .join(n, ["account", "symbol"], "left").fillna(0, ["oversold"]))
@@ -308,7 +309,8 @@ def _(spark, sf):
     return feedback.weekly_summary(_fb(spark, sf), ASOF)
 
 
-@query("recover_reference", f"""WITH {BARS}, {RECOS} SELECT reco_id, close AS reference_price FROM recos r JOIN bars b ON b.symbol = r.symbol AND b.trade_date = r.reco_date""")
+@query("recover_reference", f"""WITH {BARS} SELECT concat(CAST(trade_date AS VARCHAR), '_', symbol) AS reco_id, close AS reference_price
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date) AS k FROM bars) WHERE k = 1""")
 def _(spark, sf):
     snaps = v.bars(spark, sf).select("symbol", "trade_date", F.col("close").alias("price"), F.col("trade_date").alias("captured_at"))
     lost = v.recos(spark, sf).withColumn("reference_price", F.lit(None).cast("double"))

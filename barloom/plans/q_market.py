@@ -381,9 +381,9 @@ def _(spark, sf):
 @query("concept_metrics", f"""WITH {BARS}, x AS (SELECT *, (close/lag(close) OVER w - 1)*100 AS d1, (close/lag(close,5) OVER w - 1)*100 AS d5, row_number() OVER w AS n,
   volume/nullif(avg(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),0) AS vr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) SELECT symbol, trade_date,
   CASE WHEN d1 >= 1 AND (d5 IS NULL OR d5 > 0) THEN '上涨加强' WHEN d1 <= -1 AND (d5 IS NULL OR d5 < 0) THEN '退潮走弱' WHEN d5 >= 2 THEN '趋势偏强但当日分化' WHEN d5 <= -2 THEN '趋势偏弱但当日修复/震荡' ELSE '震荡分化' END AS state,
-  n >= 6 AS has_ratio FROM x WHERE n >= 2""")
+  round(d1, 6) + 0.0 AS one_day_pct, round(d5, 6) + 0.0 AS five_day_pct, round(CASE WHEN n >= 6 THEN vr END, 6) + 0.0 AS volume_ratio_5d FROM x WHERE n >= 2""")
 def _(spark, sf):
-    return concepts.concept_metrics(v.bars(spark, sf)).select("symbol", "trade_date", "state", F.col("volume_ratio_5d").isNotNull().alias("has_ratio"))
+    return concepts.concept_metrics(v.bars(spark, sf), 6).select("symbol", "trade_date", "state", "one_day_pct", "five_day_pct", "volume_ratio_5d")
 
 
 @query("concept_round_robin", f"WITH {PROF}, e AS (SELECT symbol, unnest(concepts) AS concept, generate_subscripts(concepts,1)-1 AS pos FROM prof), b AS (SELECT concept, min((pos, symbol)) AS m FROM e GROUP BY 1) SELECT concept, CAST(row_number() OVER (ORDER BY m, concept) AS INT) AS place FROM b QUALIFY place <= 24")
@@ -449,14 +449,14 @@ def _(spark, sf):
 @query("tail_confirmation", f"""WITH {MIN}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts DESC) AS b, count(*) OVER (PARTITION BY symbol, trade_date) AS n FROM mb),
  g AS (SELECT symbol, trade_date, max(n) AS n, max(CASE WHEN b=1 THEN close END) AS lc, max(CASE WHEN b = least(7, n) THEN close END) AS sc, avg(CASE WHEN b <= 3 THEN volume END) AS v3, avg(CASE WHEN b BETWEEN 4 AND 6 THEN volume END) AS p3 FROM k GROUP BY 1,2),
  s AS (SELECT *, (lc/lag(lc) OVER (PARTITION BY symbol ORDER BY trade_date) - 1)*100 AS pct, CASE WHEN n >= 2 THEN lc/sc - 1 END AS last30, CASE WHEN n >= 6 THEN v3/p3 END AS vol_accel FROM g)
- {r6('''SELECT symbol, trade_date, last30, vol_accel, coalesce(greatest(-5, least(8, pct))*2, 0) + coalesce(greatest(-0.05, least(0.08, last30))*150, 0) + 4.5 + coalesce(CASE WHEN vol_accel IS NOT NULL THEN least(vol_accel, 3) END*4, 0) AS confirm_score
-   FROM (SELECT * REPLACE (CASE WHEN pct IS NOT NULL THEN pct END AS pct) FROM s) WHERE pct IS NOT NULL AND last30 IS NOT NULL''', 'last30 vol_accel confirm_score')}""")
+ {r6('''SELECT symbol, trade_date, last30, vol_accel, CASE WHEN pct IS NULL THEN 0 ELSE greatest(-5, least(8, pct))*2 END + CASE WHEN last30 IS NULL THEN 0 ELSE greatest(-0.05, least(0.08, last30))*150 END
+   + 4.5 + CASE WHEN vol_accel IS NULL THEN 0 ELSE least(vol_accel, 3)*4 END AS confirm_score FROM s''', 'last30 vol_accel confirm_score')}""")
 def _(spark, sf):
     m = v.minute_bars(spark, sf)
     snap = market.with_pct(m.groupBy("symbol", "trade_date").agg(F.max_by("close", "ts").alias("price")))
     snap = snap.withColumn("quantity_ratio", F.lit(1.5))
     z = intraday.confirmation(snap, m, ("symbol", "trade_date"))
-    return z.filter("pct IS NOT NULL AND last30 IS NOT NULL").select("symbol", "trade_date", "last30", "vol_accel", "confirm_score")
+    return z.select("symbol", "trade_date", "last30", "vol_accel", "confirm_score")
 
 
 def _gate_sql() -> str:

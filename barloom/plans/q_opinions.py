@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import json_object_text
 from barloom.operators import opinions as o
 from barloom.plans.catalog import query
 from barloom.sources import views as v
@@ -190,3 +191,13 @@ def _(spark, sf):
 @query("stance_groups", f"WITH {CONS} SELECT sector, CASE stance WHEN '退潮' THEN '退潮或走弱' WHEN '加强' THEN '观点偏强或加强' ELSE '活跃但分化' END AS \"group\" FROM (SELECT * FROM cs ORDER BY mention_count DESC, sector LIMIT 10)")
 def _(spark, sf):
     return o.stance_groups(o.consensus(mined_sectors(spark, sf))).select("sector", "group")
+
+
+@query("json_answers", """SELECT p_partkey, CASE WHEN p_partkey % 7 < 4 THEN p_name END AS name, CASE WHEN p_partkey % 7 < 4 THEN p_size END AS size FROM part""")
+def _(spark, sf):
+    """Answers as models write them: plain, fenced, between words, with braces of their own; a list, an open brace, and words alone are none."""
+    k, j = F.col("p_partkey") % 7, F.to_json(F.struct("p_name", "p_size"))
+    text = (F.when(k == 0, j).when(k == 1, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), j, F.lit(" done.")))
+            .when(k == 3, F.concat(F.lit("  ```\n"), j, F.lit("```  "))).when(k == 4, F.concat(F.lit("["), j, F.lit("]"), F.lit(","), j)).when(k == 5, F.concat(F.lit("open {"), F.substring(j, 2, 5))).otherwise(F.col("p_name")))
+    x = v.table(spark, sf, "part").select("p_partkey", F.from_json(json_object_text(text), "p_name string, p_size int").alias("o"))
+    return x.select("p_partkey", F.col("o.p_name").alias("name"), F.col("o.p_size").alias("size"))

@@ -58,3 +58,23 @@ def test_fingerprint_of_addresses_and_ids(spark):
     got = {r.article_day: (r.fingerprint, r.n_sources) for r in source_fingerprint(spark.createDataFrame(rows, "article_day string, url string, doc_id string")).collect()}
     sha = lambda x: hashlib.sha256(json.dumps(x, ensure_ascii=False).encode()).hexdigest()
     assert got == {"d1": (sha(["i0", "i2", 'u"2']), 4), "d2": (sha([]), 1), None: (sha(["é"]), 1)}
+
+
+def test_json_objects_in_answers(spark):
+    from barloom.functions.scalars import json_object_text
+    good = ['{"a": 1}', ' {"a": {"b": [1, {}]}}\n', '```json\n{"a": 1}\n```', '```{"a": 1}```', 'Text {"a": "}"} and more.', '{"a": 1}, done']
+    bad = ['[1]', '{"a": 1}, {"b": 2}', '{"a": 1}} {', '{a', 'none', '', None, '[{"a": 1}], {"b": 2}']
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in good + bad], "t string").select(json_object_text("t")).collect()]
+    assert [json.loads(x) for x in got[:len(good)]] == [{"a": 1}, {"a": {"b": [1, {}]}}, {"a": 1}, {"a": 1}, {"a": "}"}, {"a": 1}]
+    assert got[len(good):] == [None] * len(bad)
+
+
+def test_nested_blocks_take_linear_time(spark):
+    """Only the outermost of nested blocks holds their text; end tags without a beginning cost nothing."""
+    import time
+    from barloom.operators.pages import parsed
+    deep = "<div class='content'>x" * 20000 + "</p></b>" * 20000 + "</div>" * 20000
+    t = time.time()
+    title, blocks, everything, _ = parsed(f"<title>a<b>c</b></title>{deep}<article>tail</article>")
+    assert time.time() - t < 20
+    assert title == "a c" and blocks[1:] == ["tail"] and blocks[0] == "\n".join(["x"] * 20000) and everything.count("\n") == 20002

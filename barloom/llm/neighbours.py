@@ -133,21 +133,23 @@ def _matrix(s: pd.Series) -> np.ndarray:
 
 
 def fit_tree(vectors: DataFrame, sample_rows: int, branches: int, leaf_rows: int) -> tuple[Tree, np.ndarray] | None:
-    """The tree and its sample's vectors, in hash order."""
+    """The tree and its sample's vectors, in hash order. Rows are drawn by id and vector, and equal ones once, so an id or a vector that many rows share is one
+    row of the sample. If none is drawn, one row makes a tree of one leaf, under which everything is compared."""
     n = vectors.count()
     if not n:
         return None
-    h = F.xxhash64(F.lit("tree"), "vec_id")
+    h = F.xxhash64(F.lit("tree"), "vec_id", "v")
     share = int(min(1.0, sample_rows / n) * (1 << 30))
-    sample = vectors.filter(F.pmod(h, F.lit(1 << 30)) < share).select(F.lit(0).alias("g"), h.alias("h"), "v")
+    sample = vectors.filter(F.pmod(h, F.lit(1 << 30)) < share).select(F.lit(0).alias("g"), h.alias("h"), "v").distinct()
+    sample = materialise(sample, "ann-sample")
+    if sample.isEmpty():
+        sample = vectors.select(F.lit(0).alias("g"), h.alias("h"), "v").limit(1)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf.sort_values("h", kind="stable")["v"])
         return pd.DataFrame({"tree": [pickle.dumps((Tree(x, branches, leaf_rows), x[:256]))]})
 
     got = sample.groupBy("g").applyInPandas(fit, "tree binary").collect()
-    if not got:
-        return None
     return pickle.loads(bytes(got[0]["tree"]))
 
 

@@ -270,3 +270,19 @@ def test_neighbour_pairs_of_large_ids(spark):
     df = spark.createDataFrame([(i, 0, "user", f"t{i}") for i in ids], "conv_id long, turn long, role string, text string")
     got = {r.pair_id: (r.chosen_id, r.rejected_id) for r in preference.formatted(preference.neighbour_pairs(df)).collect()}
     assert got == {i // 2: (i, i + 1) for i in ids if i % 2 == 0}
+
+
+def test_neighbours_of_few_ids(spark):
+    """Three ids, and three vectors, that fill a table beyond the sample: all candidates are found all the same."""
+    rng = np.random.default_rng(3)
+    own = [(i % 3, rng.normal(size=4).tolist()) for i in range(600)]
+    same = [(i, [float(i % 3), 1.0]) for i in range(600)]
+    for rows in (own, same):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.search(df, df.filter("vec_id < 2"), k=5, sample_rows=20).collect()
+        for q in (0, 1):
+            firsts = {}
+            for i, v in rows:
+                firsts.setdefault(i, []).append(v)
+            best = sorted((float(np.sqrt(((np.array(v) - np.array(min(firsts[q]))) ** 2).sum())), i) for i, v in rows if i != q)[:5]
+            assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _, i in best]

@@ -342,11 +342,16 @@ ATT = f"""{FLOW}, {STR}, {MEMB}, {MAST}, {NAMED}, at00 AS (SELECT *, board IN (S
  att AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY attribution_score DESC, board_type, board) = 1 AS is_primary FROM at0)"""
 
 
-def mentions(spark, sf):
-    """Boards whose name comes up in the conversations."""
+def named_boards(spark, sf):
+    """board, called: the words that boards go by."""
     w = v.table(spark, sf, "documents").select(F.regexp_extract("text", "^[A-Za-z]{4,8}", 0).alias("w")).filter("w <> ''").distinct()
     n = (F.ascii(F.substring("w", 2, 1)) * 7 + F.length("w") * 3) % 25 + 1
-    names = w.groupBy(F.concat(F.lit("Brand#"), n.cast("string")).alias("board")).agg(F.min("w").alias("called"))
+    return w.groupBy(F.concat(F.lit("Brand#"), n.cast("string")).alias("board")).agg(F.min("w").alias("called"))
+
+
+def mentions(spark, sf):
+    """Boards whose name comes up in the conversations."""
+    names = named_boards(spark, sf)
     found = concepts.mentioned_boards(names.select(F.col("called").alias("board")), v.table(spark, sf, "conversations").select("text"))
     return names.join(found.select(F.col("board").alias("called")), "called", "left_semi").select("board")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import json_object_text
 from barloom.operators import opinions as o
 from barloom.plans.catalog import query
+from barloom.plans.q_market import NAMED, named_boards
 from barloom.sources import views as v
 
 MT, ST, RT = ("the", "und", "les", "que"), ("of", "ein", "con", "par"), ("The", "In", "Et", "La")
@@ -163,18 +164,20 @@ def _(spark, sf):
     return o.extract_articles(p).unionByName(nested).select("page_id", "title", "body_chars", "body")
 
 
-CONS = """mm AS (SELECT d.doc_id, b.brand AS sector, CASE (d.doc_id + b.n) % 3 WHEN 0 THEN '退潮' WHEN 1 THEN '加强' ELSE '分歧' END AS stance FROM documents d JOIN (SELECT DISTINCT p_brand AS brand, CAST(substr(p_brand, 7) AS INT) AS n FROM part) b ON (d.doc_id + b.n) % 7 = 0),
+# A document mentions the boards whose name is one of its words; a full stop or a comma behind it gives the stance.
+CONS = NAMED + """, mm AS (SELECT doc_id, board AS sector, CASE WHEN contains(text, concat(called, '.')) THEN '退潮' WHEN contains(text, concat(called, ',')) THEN '分歧' ELSE '加强' END AS stance
+   FROM documents d JOIN nm ON list_contains(regexp_extract_all(text, '[A-Za-z]+'), called)),
  co AS (SELECT sector, count(DISTINCT doc_id) AS mention_count FROM mm GROUP BY 1), md AS (SELECT sector, stance, count(*) AS n FROM mm GROUP BY 1, 2),
  cs AS (SELECT co.*, (SELECT arg_max(stance, (n, stance)) FROM md WHERE md.sector = co.sector) AS stance FROM co)"""
 
 
 def mined_sectors(spark, sf):
-    b = v.table(spark, sf, "part").select(F.col("p_brand").alias("name"), F.substring("p_brand", 7, 9).cast("int").alias("n")).distinct()
-    b = b.withColumn("key", F.pmod(-F.col("n"), F.lit(7)))
-    d = v.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("key"))
-    k = (F.col("doc_id") + F.col("n")) % 3
-    x = d.join(b, "key").select("doc_id", F.struct("name", F.when(k == 0, "退潮").when(k == 1, "加强").otherwise("分歧").alias("stance")).alias("s"))
-    return x.groupBy("doc_id").agg(F.collect_list("s").alias("sectors"))
+    names, d = named_boards(spark, sf), v.table(spark, sf, "documents").select("doc_id", "text")
+    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("called"))
+    x = words.join(names, "called").join(d, "doc_id")
+    follows = lambda sign: F.contains("text", F.concat("called", F.lit(sign)))
+    stance = F.when(follows("."), "退潮").when(follows(","), "分歧").otherwise("加强")
+    return x.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("board").alias("name"), stance.alias("stance"))).alias("sectors"))
 
 
 @query("opinion_consensus", f"WITH {CONS} SELECT * FROM cs")

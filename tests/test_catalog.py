@@ -12,7 +12,8 @@ SAMPLE = ["feature_contraction_votes", "limit_up_evidence", "breakout_stage", "s
           "breadth_row", "market_context", "sector_leaders", "attribution", "entry_gate", "rolling_pool", "decision_coverage",
           "registry_merged", "closed_day_outcomes", "target_trade_date", "document_identity", "feed_candidates",
           "stream_bars_5m", "stream_latest", "stream_exit_alerts", "stream_ingest", "stream_late_data", "stream_breadth", "feedback_twice",
-          "sector_readiness", "tail_post_gate", "source_fingerprint", "active_trades"]
+          "sector_readiness", "tail_post_gate", "source_fingerprint", "active_trades", "json_answers", "concept_match", "membership_coverage", "membership_source_coverage",
+          "ledger_append", "pool_files", "opinion_consensus", "batch_identity"]
 CAT = load_catalog()
 
 

@@ -35,7 +35,7 @@ END = 0x4000
 class Backtracking:
     """Encoder and decoder for one vocabulary file with byte-level BPE and a word-end mark."""
 
-    def __init__(self, path: str, memo: int = 24_000_000):
+    def __init__(self, path: str, memo: int = 96_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -46,7 +46,7 @@ class Backtracking:
         self.signs = byte_letters()
         self._merges(model["merges"])
         self._offsets(spec)
-        self.words, self.pairs = Memo(memo), Memo(memo)
+        self.words, self.pairs = Memo(memo), Memo(memo // 2)
 
     def _merges(self, merges: list) -> None:
         ids = self.ids
